@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mix, overlap, sample, split
+from . import leak, mix, overlap, sample, split
 
 
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
@@ -54,6 +54,17 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_report(p3_pairs(spark, root), table(spark, root, "papers"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and the items that leaked into them."""
+    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by leaked item."""
+    found = p7_found(spark, root).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return table(spark, root, "eval_items").select("item_id", "suite", "split").join(found, "item_id")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Sources that fall short of their share however often they are repeated."""
     return _p8(spark, root).report.where("short").select("source")
