@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leak, mix, overlap, sample, split
+from . import leak, mix, overlap, sample, split, subjects
 
 
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
@@ -84,6 +84,21 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return _p8(spark, root).report
 
 
+def p9_subjects(spark: SparkSession, root: str) -> DataFrame:
+    """Subjects of every document, with the sentences counted."""
+    return subjects.document_subjects(table(spark, root, "documents"), table(spark, root, "subject_examples"), table(spark, root, "subjects"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and their subjects."""
+    return p9_subjects(spark, root).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, root: str) -> DataFrame:
+    """The corpus by subject."""
+    return subjects.composition(p9_found(spark, root), table(spark, root, "documents"), table(spark, root, "subjects"))
+
+
 def queries() -> dict:
     """Every query of this folder by name."""
     here = globals()
