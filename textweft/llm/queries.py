@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leak, mix, overlap, sample, split, subjects
+from . import leak, lookalike, mix, overlap, sample, split, subjects
 
 
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
@@ -54,6 +54,21 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_report(p3_pairs(spark, root), table(spark, root, "papers"))
 
 
+def p6_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk text in its common form."""
+    return lookalike.one_form(table(spark, root, "chunked_database")).select("row_id", "canonical_text")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that read the same but are stored differently."""
+    return lookalike.same_reading(lookalike.one_form(table(spark, root, "chunked_database")))
+
+
+def p6_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Rows by what they read as."""
+    return lookalike.reading_classes(lookalike.one_form(table(spark, root, "chunked_database")))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents and the items that leaked into them."""
     return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
