@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leak, lookalike, mix, overlap, sample, split, subjects
+from . import leak, lookalike, mix, overlap, sample, spans, split, subjects
 
 
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
@@ -54,6 +54,26 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_report(p3_pairs(spark, root), table(spark, root, "papers"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of different papers with a common run of 200 characters."""
+    return spans.shared_pairs(table(spark, root, "chunked_database")).select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b")).distinct()
+
+
+def p5_spans(spark: SparkSession, root: str) -> DataFrame:
+    """Stretches of each row that also stand in other papers."""
+    return spans.shared_spans(table(spark, root, "chunked_database"))
+
+
+def p5_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Share of each row's text that also stands in other papers."""
+    return spans.shared_shares(table(spark, root, "chunked_database"))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Rows joined by shared passages."""
+    return spans.removal_clusters(table(spark, root, "chunked_database"))
+
+
 def p6_texts(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk text in its common form."""
     return lookalike.one_form(table(spark, root, "chunked_database")).select("row_id", "canonical_text")
