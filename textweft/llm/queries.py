@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leak, lookalike, mix, overlap, sample, spans, split, subjects
+from . import knn, leak, lookalike, mix, overlap, sample, spans, split, subjects
 
 
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
@@ -54,6 +54,21 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_report(p3_pairs(spark, root), table(spark, root, "papers"))
 
 
+def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 5 most similar vectors of every vector, with the papers and chunks of both."""
+    rows = table(spark, root, "faiss_metadata")
+    names = rows.select("vec_id", "arxiv_id", "chunk_id")
+    found = knn.nearest(rows).join(names, "vec_id")
+    other = names.select(F.col("vec_id").alias("neighbour"), F.col("arxiv_id").alias("neighbour_arxiv_id"), F.col("chunk_id").alias("neighbour_chunk_id"))
+    return found.join(other, "neighbour")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs among each other's 5 most similar, with a cosine of at least 0.85."""
+    found = knn.nearest(table(spark, root, "faiss_metadata"), least=0.85)
+    return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of different papers with a common run of 200 characters."""
     return spans.shared_pairs(table(spark, root, "chunked_database")).select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b")).distinct()
