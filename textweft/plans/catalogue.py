@@ -1,20 +1,379 @@
-"""The query catalogue."""
+"""The query catalogue: every operator as a query over whole tables."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import contact
+from ..functions import text as tx
+from ..functions import vector as vec
+from ..operators import chunking, classify, labels, phrases, registry, report, similarity
+from ..session import checkpoint, shared_folder, table
+from ..sources import files
+from . import literals, sql
+
+THRESHOLD = 0.5
+SEED = 42
+
+
+# -- text ---------------------------------------------------------------
+def norm_text(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", tx.normalise(F.col("text")).alias("norm"))
+
+
+def norm_latex_literals(spark: SparkSession, root: str) -> DataFrame:
+    return literals.frame(spark, literals.LATEX, "k int, raw string").select("k", tx.normalise(F.col("raw")).alias("norm"))
+
+
+def strip_latex_literals(spark: SparkSession, root: str) -> DataFrame:
+    return literals.frame(spark, literals.STRUCTURE, "k int, raw string").select("k", tx.strip_structure(F.col("raw")).alias("stripped"))
+
+
+def strip_latex_documents(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", tx.strip_structure(F.col("text")).alias("stripped"))
+
+
+def pdf_clean_refcut(spark: SparkSession, root: str) -> DataFrame:
+    fixed = literals.frame(spark, literals.LAYOUT, "k int, raw string").select(F.col("k").cast("long").alias("k"), "raw")
+    rows = fixed.unionByName(table(spark, root, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("raw")))
+    return rows.select("k", tx.cut_references(tx.clean_extracted(F.col("raw"))).alias("clean"))
+
+
+def source_priority_coalesce(spark: SparkSession, root: str) -> DataFrame:
+    rows = literals.frame(spark, literals.PRIORITY, "k int, latex string, pdf string, plain string")
+    return rows.select("k", tx.first_adequate((F.col("latex"), 4), (F.col("pdf"), 1), (F.col("plain"), 1)).alias("chosen"))
+
+
+def tokenize(spark: SparkSession, root: str) -> DataFrame:
+    words = tx.tokens(tx.collapse(F.col("text")))
+    return table(spark, root, "chunked_database").where(F.col("text").isNotNull()).select("row_id", F.size(words).cast("long").alias("n_words"), F.coalesce(F.element_at(words, 1), F.lit("")).alias("first_word"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("last_word"))
+
+
+def last_segment(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "uploads").select("id", tx.last_segment(F.col("file_path")).alias("segment"), F.lower(F.regexp_extract("file_path", r"\.[^./]+$", 0)).alias("suffix"))
+
+
+def _chunks(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    rows = table(spark, root, name).select(F.col(key).alias("doc"), tx.normalise(F.col("text")).alias("norm"))
+    return chunking.chunks(rows, "norm")
+
+
+def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
+    return _chunks(spark, root, "documents", "doc_id").select(F.col("doc").alias("doc_id"), "chunk_id", "chunk_text", "n_words")
+
+
+def chunk_stats(spark: SparkSession, root: str) -> DataFrame:
+    c = _chunks(spark, root, "documents", "doc_id")
+    by_doc = c.groupBy("doc").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    kinds = table(spark, root, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    return kinds.join(by_doc, "doc").groupBy("source").agg(F.count("*").alias("papers"), F.sum("n").cast("long").alias("chunks"), F.sum("w").cast("long").alias("words"))
+
+
+def extraction_counts(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "chunked_database").select("arxiv_id", F.coalesce("source_type", F.lit("unknown")).alias("source_type"))
+    return rows.groupBy("source_type").agg(F.count("*").alias("chunks"), F.countDistinct("arxiv_id").alias("papers"))
+
+
+# -- similarity ----------------------------------------------------------
+def knn_embeddings_topk(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "embeddings")
+    return similarity.top_vectors(e, e, "vec_id", "embedding").select(F.col("q").alias("vec_id"), F.col("n").alias("neighbour"), F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+def knn_index_topk(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "faiss_metadata")
+    found = similarity.top_vectors(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding")
+    meta = rows.select(F.col("vec_id").alias("n"), "arxiv_id", "chunk_id")
+    return found.join(meta, "n").select(F.col("q").alias("vec_id"), F.col("n").alias("neighbour"), F.round(vec.clamp(F.col("cosine")), 4).alias("cosine"), F.col("rank").cast("long").alias("rank"), "arxiv_id", "chunk_id")
+
+
+def knn_threshold(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "embeddings")
+    found = similarity.top_vectors(e, e, "vec_id", "embedding", least=0.4)
+    return found.groupBy("q").agg(F.count("*").alias("near"), F.round(F.max("cosine"), 4).alias("best")).withColumnRenamed("q", "vec_id")
+
+
+def l2_normalize(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "faiss_metadata").where(F.size("embedding") > 0)
+    clean = rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    unit = vec.l2_normalise(F.col("embedding"))
+    return clean.select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(vec.norm(F.col("embedding")), 4).alias("norm"), F.round(F.element_at(unit, 1), 4).alias("first"))
+
+
+def _matches(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, c = _chunks(spark, root, "eval_items", "item_id"), _chunks(spark, root, "documents", "doc_id")
+    found = similarity.top_texts(q, c, k=5, least=THRESHOLD)
+    return report.scored(found, THRESHOLD), q, c
+
+
+def sparse_cosine_topk(spark: SparkSession, root: str) -> DataFrame:
+    m, _, _ = _matches(spark, root)
+    return m.select(F.col("q_doc").alias("item_id"), "q_chunk", F.col("doc").alias("doc_id"), "chunk", "score", "match_percentage", F.col("rank").cast("long").alias("rank"))
+
+
+def near_duplicates_self(spark: SparkSession, root: str) -> DataFrame:
+    c = _chunks(spark, root, "documents", "doc_id")
+    found = similarity.top_texts(c.where("doc % 50 = 0"), c, k=5, least=0.8)
+    return found.select(F.col("q_doc").alias("doc_id"), "q_chunk", F.col("doc").alias("other_doc"), "chunk", F.round("cosine", 4).alias("score"))
+
+
+def flagged_chunks(spark: SparkSession, root: str) -> DataFrame:
+    m, _, _ = _matches(spark, root)
+    return report.flagged_chunks(m).select(F.col("q_doc").alias("item_id"), "q_chunk", F.round("best", 4).alias("best"))
+
+
+def global_score(spark: SparkSession, root: str) -> DataFrame:
+    m, q, _ = _matches(spark, root)
+    return report.global_scores(m, q).withColumnRenamed("q_doc", "item_id")
+
+
+def _with_texts(m: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    a = q.select(F.col("doc").alias("q_doc"), F.col("chunk_id").alias("q_chunk"), F.col("chunk_text").alias("query_text"))
+    b = c.select("doc", F.col("chunk_id").alias("chunk"), F.col("chunk_text").alias("db_text"))
+    return m.join(a, ["q_doc", "q_chunk"]).join(b, ["doc", "chunk"])
+
+
+def shared_word_6grams(spark: SparkSession, root: str) -> DataFrame:
+    m, q, c = _matches(spark, root)
+    pairs = _with_texts(m, q, c)
+    both = F.size(F.array_intersect(phrases.word_grams(F.col("query_text"), 6), phrases.word_grams(F.col("db_text"), 6)))
+    return pairs.select(F.col("q_doc").alias("item_id"), "q_chunk", F.col("doc").alias("doc_id"), "chunk", both.cast("long").alias("shared"))
+
+
+def rank_sources(spark: SparkSession, root: str) -> DataFrame:
+    m, q, c = _matches(spark, root)
+    top = _with_texts(report.top_matches(m), q, c).withColumn("exact", phrases.shares_grams(F.col("query_text"), F.col("db_text"), 6))
+    ranked = report.rank_sources(top, report.first_seen(m), "exact")
+    return ranked.select(F.col("q_doc").alias("item_id"), F.col("doc").alias("doc_id"), F.col("match_count").cast("long").alias("match_count"), "average_similarity", "has_exact", F.col("position").cast("long").alias("position"))
+
+
+def exact_phrases(spark: SparkSession, root: str) -> DataFrame:
+    m, q, c = _matches(spark, root)
+    found = phrases.exact_phrases(_with_texts(report.top_matches(m), q, c), "query_text", "db_text")
+    return found.select(F.col("q_doc").alias("item_id"), "q_chunk", F.col("doc").alias("doc_id"), "chunk", F.explode("phrases").alias("phrase"))
+
+
+def _analysis(spark: SparkSession, root: str) -> DataFrame:
+    m, q, c = _matches(spark, root)
+    m = checkpoint(m)
+    top = phrases.exact_phrases(_with_texts(report.top_matches(m), q, c).drop("db_text").join(c.select("doc", F.col("chunk_id").alias("chunk"), F.col("chunk_text").alias("db_text")), ["doc", "chunk"]), "query_text", "db_text").withColumn("exact", F.size("phrases") > 0)
+    top = checkpoint(top.drop("db_text"))
+    ranked = report.rank_sources(top, report.first_seen(m), "exact")
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("collection", F.lit("N/A")).alias("title"), F.coalesce("source", F.lit("unknown")).alias("source_type"))
+    texts = c.join(docs.select("doc", "source_type"), "doc")
+    names = table(spark, root, "eval_items").select(F.col("item_id").alias("q_doc"), F.concat(F.lit("item-"), F.col("item_id"), F.lit(".txt")).alias("file_name"))
+    return report.report_documents(names, report.global_scores(m, q), ranked, top, texts, docs.select("doc", "title"), THRESHOLD, "term-frequency")
+
+
+def report_json(spark: SparkSession, root: str) -> DataFrame:
+    return _analysis(spark, root).withColumnRenamed("q_doc", "item_id")
+
+
+def analyze_report(spark: SparkSession, root: str) -> DataFrame:
+    m, q, c = _matches(spark, root)
+    top = _with_texts(report.top_matches(m), q, c).withColumn("exact", phrases.shares_grams(F.col("query_text"), F.col("db_text"), 6))
+    ranked = report.rank_sources(top, report.first_seen(m), "exact").groupBy("q_doc").agg(F.count("*").alias("reported"))
+    head = report.global_scores(m, q).join(ranked, "q_doc", "left")
+    return head.select(F.col("q_doc").alias("item_id"), "total_words", "total_chunks", "global_score", "total_suspicious_sources", F.coalesce("reported", F.lit(0)).alias("total_reported_sources"), "total_flagged_chunks")
+
+
+# -- dataset -------------------------------------------------------------
+def hierarchy_flatten(spark: SparkSession, root: str) -> DataFrame:
+    return labels.flatten_hierarchy(literals.hierarchy(spark)).unionByName(labels.flatten_hierarchy(_dim_tree(spark, root)))
+
+
+def _dim_tree(spark: SparkSession, root: str) -> DataFrame:
+    dim = table(spark, root, "category_dim").where("sub_code <> top_code")
+    return dim.groupBy("top_code", "top_name").agg(F.map_from_entries(F.collect_list(F.struct("sub_code", "sub_name"))).alias("subs")).withColumn("ord", F.xxhash64("top_code"))
+
+
+def label_map_fallback(spark: SparkSession, root: str) -> DataFrame:
+    taxonomy = table(spark, root, "category_dim").select("sub_code", "top_code", "top_name", "sub_name")
+    rows = table(spark, root, "papers").select("record_id", "primary_category", "all_categories")
+    return labels.map_labels(rows, taxonomy, "record_id", "primary_category", "all_categories").select("record_id", "top_code", F.col("top_name"), F.col("sub_name"))
+
+
+def source_predicate(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "papers").where(F.array_contains("all_categories", "cmp.DB")).select("record_id", "arxiv_id")
 
-from ..session import table
+
+def dedupe_first_wins(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "papers").select("record_id", F.trim("arxiv_id").alias("arxiv_id"), "feed", "ingested_at").where(F.trim("arxiv_id") != "")
+    return labels.first_wins(rows, ["arxiv_id"], [F.col("feed"), F.col("ingested_at"), F.col("record_id")]).select("arxiv_id", "record_id", "feed")
+
+
+def _labelled(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "papers").select("record_id", F.trim("top_category_name").alias("label")).where("label <> ''")
+
+
+def balance_classes(spark: SparkSession, root: str) -> DataFrame:
+    return labels.balance(_labelled(spark, root), "label", "record_id", most=100, least=30, seed=SEED)
+
+
+def stratified_split(spark: SparkSession, root: str) -> DataFrame:
+    return labels.stratified_split(_labelled(spark, root), "label", "record_id", seed=SEED)
+
+
+def split_sizes(spark: SparkSession, root: str) -> DataFrame:
+    return stratified_split(spark, root).groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+def per_category_quota(spark: SparkSession, root: str) -> DataFrame:
+    return labels.quota(table(spark, root, "events").select("event_type", "event_id", "ts"), "event_type", [F.desc("ts"), F.col("event_id")], 50).select("event_type", "event_id")
+
+
+def newest_papers_by_category(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "papers").select("record_id", F.explode_outer(F.array_distinct("all_categories")).alias("category"), "published").where("category IS NOT NULL")
+    return labels.quota(rows, "category", [F.desc_nulls_last("published"), F.col("record_id")], 20).select("category", "record_id")
+
+
+def jsonl_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
+    path = f"{shared_folder(spark)}/lines-{spark.sparkContext.applicationId}"
+    files.write_json_lines(rows, path)
+    return files.json_lines(spark, path, "doc_id bigint, text string, lang string, source string").select("doc_id", F.md5(F.coalesce("text", F.lit("<null>"))).alias("digest"), "lang", "source")
+
+
+def json_fields(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def atom_parse(spark: SparkSession, root: str) -> DataFrame:
+    found = files.atom_entries(literals.frame(spark, literals.ENTRIES, "k int, xml string"), "xml")
+    return found.select("arxiv_id", "title", "abstract", "primary_category", F.array_join("all_categories", ",").alias("categories"))
+
+
+def largest_member(spark: SparkSession, root: str) -> DataFrame:
+    rows = literals.frame(spark, literals.MEMBERS, "archive string, member string, size bigint, place int").where(F.col("member").endswith(".tex"))
+    return rows.groupBy("archive").agg(F.max_by("member", F.struct("size", -F.col("place"))).alias("member"))
+
+
+def chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
+    meta = table(spark, root, "faiss_metadata").select("vec_id", "arxiv_id", "chunk_id")
+    texts = table(spark, root, "chunked_database").where("arxiv_id IS NOT NULL").groupBy("arxiv_id", "chunk_id").agg(F.min_by("text", "row_id").alias("text"))
+    return meta.join(texts, ["arxiv_id", "chunk_id"], "left").select("vec_id", "arxiv_id", "chunk_id", F.length(F.coalesce("text", F.lit("Text not available."))).cast("long").alias("n_chars"))
+
+
+# -- registry ------------------------------------------------------------
+def user_lookup(spark: SparkSession, root: str) -> DataFrame:
+    return registry.lookup(table(spark, root, "users"), "id", 7, registry.USER_VIEW, alive=True)
+
+
+def user_by_email(spark: SparkSession, root: str) -> DataFrame:
+    users = table(spark, root, "users")
+    live = registry.live(users).withColumn("mail", contact.normal_email(F.col("email")))
+    return live.groupBy("mail").agg(F.min("id").alias("user_id"), F.count("*").alias("accounts"))
+
+
+def doc_with_report(spark: SparkSession, root: str) -> DataFrame:
+    both = registry.with_report(table(spark, root, "uploads"), table(spark, root, "plagiarism_reports"))
+    return both.select("id", "user_id", "filename", "status", F.col("report.id").alias("report_id"), F.col("report.global_score").alias("global_score"))
+
+
+def user_documents(spark: SparkSession, root: str) -> DataFrame:
+    return registry.uploads_of_users(table(spark, root, "users"), table(spark, root, "uploads")).groupBy("user_id").agg(F.count("*").alias("uploads"), F.sum("word_count").cast("long").alias("words"), F.max("uploaded_at").alias("last_upload"))
+
+
+def report_of_document(spark: SparkSession, root: str) -> DataFrame:
+    return registry.lookup(table(spark, root, "plagiarism_reports"), "document_id", 2, ["id", "document_id", "global_score", "ai_model_used"], alive=False)
+
+
+def report_insert_valid(spark: SparkSession, root: str) -> DataFrame:
+    uploads, reports = table(spark, root, "uploads"), table(spark, root, "plagiarism_reports")
+    new = uploads.select((F.col("id") + 5).alias("document_id"), F.col("id").alias("id"), F.lit(0.0).alias("global_score"))
+    return registry.acceptable_reports(new, uploads, reports).select("document_id", "id", "global_score")
+
+
+def report_fields(spark: SparkSession, root: str) -> DataFrame:
+    from .. import schemas
+
+    r = table(spark, root, "plagiarism_reports").withColumn("d", F.from_json("report_data", schemas.REPORT_DATA))
+    return r.select("id", F.col("d.document_stats.total_words").alias("total_words"), F.col("d.total_flagged_chunks").alias("flagged"), F.coalesce(F.size("d.sources"), F.lit(0)).cast("long").alias("sources"), F.col("d.error").alias("error"))
+
+
+def account_merge(spark: SparkSession, root: str) -> DataFrame:
+    return registry.link_accounts(table(spark, root, "users"), _profiles(spark, root)).select("google_id", "user_id", "action")
+
+
+def _profiles(spark: SparkSession, root: str) -> DataFrame:
+    users = table(spark, root, "users")
+    known = users.where("id % 10 = 1 AND google_id IS NOT NULL").select("google_id", "email", "first_name", "last_name")
+    by_mail = users.where("id % 10 = 2").select(F.concat(F.lit("n-"), F.col("id")).alias("google_id"), F.upper("email").alias("email"), "first_name", "last_name")
+    new = users.where("id % 10 = 3").select(F.concat(F.lit("m-"), F.col("id")).alias("google_id"), F.concat(F.lit("new."), F.trim("email")).alias("email"), "first_name", "last_name")
+    return known.unionByName(by_mail).unionByName(new).withColumnsRenamed({"first_name": "given_name", "last_name": "family_name"})
+
+
+def accounts_after_merge(spark: SparkSession, root: str) -> DataFrame:
+    return registry.merge_accounts(table(spark, root, "users"), _profiles(spark, root)).select("id", "email", "google_id", "is_deleted")
+
+
+def initials(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "users").select("id", contact.initials(F.col("first_name"), F.col("last_name"), F.col("email")).alias("initials"))
+
+
+def email_valid(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "users").select("id", contact.valid_email(F.col("email")).alias("valid"))
+
+
+def email_norm(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "users").select("id", contact.normal_email(F.col("email")).alias("email"))
+
+
+def status_counts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "uploads").groupBy("status", "is_deleted").agg(F.count("*").alias("n"))
+
+
+# -- classifier ----------------------------------------------------------
+def classification_report(spark: SparkSession, root: str) -> DataFrame:
+    top = F.initcap(tx.collapse(F.col("top_category_name")))
+    dim = table(spark, root, "category_dim").where("sub_code = top_code").select(F.col("top_code").alias("c"), F.col("top_name").alias("prediction"))
+    rows = table(spark, root, "papers").select(top.alias("label"), F.substring_index(F.trim("primary_category"), ".", 1).alias("c"))
+    return classify.evaluation(rows.where("label <> ''").join(dim, "c"))
+
+
+def label_list(spark: SparkSession, root: str) -> DataFrame:
+    return classify.label_list(table(spark, root, "papers"), "top_category_name").select(F.col("position").cast("long").alias("position"), "label")
+
+
+def train_text(spark: SparkSession, root: str) -> DataFrame:
+    return classify.training_text(table(spark, root, "papers"))
+
+
+def mlp_predict(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings").withColumn("label", F.col("label").cast("string"))
+    model = classify.fit_classifier(rows, "embedding", "label", hidden=(32,), iterations=40)
+    return classify.predict(model, rows, "embedding").select("vec_id", "label", "prediction")
+
+
+def stream_filedrop(spark: SparkSession, root: str) -> DataFrame:
+    from ..streaming import filedrop
+
+    source = table(spark, root, "documents").select("doc_id", "text")
+    home = tempfile.mkdtemp(prefix="filedrop-") if spark.sparkContext.master.startswith("local[") else f"{shared_folder(spark)}/filedrop-{spark.sparkContext.applicationId}"
+    drop, target = f"{home}/in", f"{home}/out"
+    source.write.mode("overwrite").parquet(drop)
+    filedrop.write_once(filedrop.watch(spark, drop, source.schema), "doc_id", target, f"{home}/state", lambda d: d.select("doc_id", F.size(tx.tokens(tx.normalise(F.col("text")))).alias("n_words")))
+    return spark.read.parquet(target)
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    """Corpus counts by source type."""
-    return table(spark, root, "chunked_database").groupBy("source_type").count()
+    """Every held-out item against the whole corpus: what it matches and its score."""
+    return analyze_report(spark, root)
+
+
+HELPERS = {"flagship", "queries", "oracle_sql", "table", "checkpoint", "shared_folder"}
 
 
 def queries() -> dict:
-    return {}
+    here = globals()
+    return {n: f for n, f in sorted(here.items()) if callable(f) and n[0] != "_" and n not in HELPERS and getattr(f, "__module__", "") == __name__ and isinstance(f, type(queries))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.statements()
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]

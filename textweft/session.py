@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,3 +69,25 @@ def group_arrow(grouped, df: DataFrame, function, schema) -> DataFrame:
     """``applyInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return grouped.applyInArrow(function, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed Parquet table in the shared folder and read it back.
+
+    Cuts the lineage like :func:`checkpoint`, takes less disk and tells the
+    planner the size.  The table is removed when the Python driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the context may be gone; the folder is temporary anyway
+        pass
