@@ -19,7 +19,7 @@ NONE = np.float32(-3.0)
 class Hierarchy:
     """Cosine similarity over unit vectors ``x`` (float32, one row a point)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 12, build: int = 24, shrink: int = 16, group: int = 64, seed: int = 1):
+    def __init__(self, x: np.ndarray, degree: int = 12, build: int = 20, shrink: int = 16, group: int = 128, seed: int = 1):
         self.degree, self.group = degree, group
         self.order = np.random.default_rng(seed).permutation(len(x))
         self.x = np.ascontiguousarray(x[self.order])
@@ -32,6 +32,8 @@ class Hierarchy:
         self.stamp = np.zeros(n, np.int32)
         self.spread = np.zeros(n, np.int32)
         self.tick = 0
+        #: the upper point each point was inserted under
+        self.under = np.arange(n, dtype=np.int32)
         for size in self.sizes[1:]:
             self.layers.append(self._layer(size, build))
 
@@ -47,6 +49,7 @@ class Hierarchy:
         while done < size:
             upto = min(size, 2 * done)
             start, order = self._descend(self.x[done:upto])
+            self.under[done:upto] = start[:, 0]
             forward = np.full((upto - done, d), -1, np.int32)
             near = np.zeros((upto - done, d), np.float32)
             for g in range(0, len(order), self.group):
@@ -188,6 +191,25 @@ class Hierarchy:
             ids = np.unique(nb)
         return top_i, top_s
 
+    def query_points(self, k: int, ef: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`query` for all points of the graph, which start from themselves and their own neighbours."""
+        if not self.layers:
+            out = self.query(self.x, k, ef)
+            back = np.argsort(self.order)
+            return out[0][back], out[1][back]
+        ef, adj = max(ef, k), self.layers[-1]
+        n = len(self.x)
+        out_i, out_s = np.full((n, k), -1, np.int64), np.full((n, k), NONE, np.float32)
+        order = np.argsort(self.under, kind="stable")
+        for g in range(0, n, self.group):
+            pick = order[g : g + self.group]
+            start = np.concatenate([pick[:, None].astype(np.int32), adj[pick, :4]], 1)
+            ids, sims = self._search(adj, self.x[pick], start, ef)
+            at = self.order[pick]
+            out_i[at] = np.where(ids[:, :k] >= 0, self.order[np.maximum(ids[:, :k], 0)], -1)
+            out_s[at] = sims[:, :k]
+        return out_i, out_s
+
     def query(self, q: np.ndarray, k: int, ef: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """For each query the ``k`` nearest points found (positions in the given ``x``) and their similarities."""
         ef = max(ef, k)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..session import checkpoint, group_arrow, map_arrow
 from .common import require
 
-#: Vectors the shards' centroids are fitted on, taken in hash order.
+#: Vectors the shards' centroids are fitted on, about, and at most twice as many; taken by hash.
 SAMPLE = 20_000
 #: A shard's rows follow the square root of the whole, between these.
 SHARD_ROWS = (20_000, 500_000)
@@ -91,7 +91,11 @@ def search_shard(table, width: int, k: int, ef: int, least: float):
     x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, width)
     inside = np.flatnonzero(home)
     graph = Hierarchy(x[inside])
-    pos, sim = graph.query(x, k + 1, ef)
+    pos, sim = np.full((len(x), k + 1), -1, np.int64), np.zeros((len(x), k + 1), np.float32)
+    guests = np.flatnonzero(~home)
+    pos[guests], sim[guests] = graph.query(x[guests], k + 1, ef)
+    if len(inside):
+        pos[inside], sim[inside] = graph.query_points(k + 1, ef)
     real = pos >= 0
     near = np.where(real, inside[np.maximum(pos, 0)] if len(inside) else -1, -1)
     me = np.arange(len(x))[:, None]
@@ -100,7 +104,7 @@ def search_shard(table, width: int, k: int, ef: int, least: float):
     return pa.table([keys.take(pa.array(q)), keys.take(pa.array(near[q, c])), pa.array(sim[q, c].astype(np.float64))], names=["q", "n", "cosine"])
 
 
-def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", width: int = 64, k: int = 5, least: float = -1.0, probes: int | None = None, ef: int = 14, shard_rows: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", width: int = 64, k: int = 5, least: float = -1.0, probes: int | None = None, ef: int = 11, shard_rows: int | None = None) -> DataFrame:
     """(key, neighbour, cosine, rank): the ``k`` most similar other vectors of every vector.
 
     Vectors that are null, not ``width`` long, all zero or hold a null, NaN or
@@ -122,7 +126,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", wid
     single = vec.join(members.where("_k <> _rep").select("_k"), "_k", "left_anti")
 
     size = shard_rows or int(min(SHARD_ROWS[1], max(SHARD_ROWS[0], 40 * math.sqrt(total))))
-    picked = single.orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE).select("_v").collect()
+    picked = single.where(F.pmod(F.xxhash64("_k"), F.lit(max(1, total // SAMPLE))) == 0).limit(2 * SAMPLE).select("_v").collect()
     x = np.frombuffer(b"".join(bytes(r["_v"]) for r in picked), np.float32).reshape(-1, width)
     cells = max(1, math.ceil(total / size))
     centre = centroids(x, cells) if len(x) else np.zeros((1, width), np.float32)
