@@ -18,9 +18,9 @@ GREEK_NAMES = (
     "Gamma", "Delta", "Theta", "Lambda", "Xi", "Pi", "Sigma", "Upsilon", "Phi", "Psi", "Omega",
 )
 GREEK_LETTERS = "αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΥΦΨΩ"
-# Operators and functions kept by name, and symbols with a word of their own.
-NAMED_OPERATORS = ("sum", "int", "prod", "lim", "sup", "inf", "exp", "log", "ln", "sin", "cos", "tan", "hbar", "partial", "nabla", "times", "leq", "geq", "neq", "approx")
-RENAMED_SYMBOLS = {"infty": "inf", "cdot": "dot", "pm": "plusminus"}
+# Operators and functions kept by name, replaced group by group, and symbols with their words, replaced one by one.
+NAMED_OPERATORS = (("sum", "int", "prod", "lim", "sup", "inf"), ("exp", "log", "ln", "sin", "cos", "tan"))
+SYMBOLS = {"hbar": "hbar", "infty": "inf", "partial": "partial", "nabla": "nabla", "times": "times", "cdot": "dot", "pm": "plusminus", "leq": "leq", "geq": "geq", "neq": "neq", "approx": "approx"}
 UMLAUTS = {"a": "ä", "o": "ö", "u": "ü", "A": "Ä", "O": "Ö", "U": "Ü"}
 # Commands whose argument is kept, in the order they are unwrapped.
 UNWRAPPED = (
@@ -38,18 +38,23 @@ def collapse(c: Column) -> Column:
 
 
 def greek_words(c: Column) -> Column:
-    """Greek letters, as commands or as characters, become their English names."""
-    named = F.regexp_replace(c, r"(?U)\\(" + "|".join(GREEK_NAMES) + r")\b", "$1")
-    spelled = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1].lower())), zip(GREEK_LETTERS, GREEK_NAMES, strict=True), named)
-    return F.when(c.rlike("[\\\\\u0391-\u03c9]"), spelled).otherwise(c)
+    """Greek letters, as commands or as characters, become their English names.
+
+    Name by name: a command directly followed by an earlier name's word is no
+    command any more.  Only texts with a backslash or a Greek letter take part.
+    """
+    named = reduce(lambda x, name: F.regexp_replace(x, rf"(?U)\\{name}\b", name.lower()), GREEK_NAMES, c)
+    spelled = lambda t: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1].lower())), zip(GREEK_LETTERS, GREEK_NAMES, strict=True), t)
+    greek = c.rlike("[\u0391-\u03c9]")
+    return F.when(F.contains(c, F.lit("\\")), F.when(greek, spelled(named)).otherwise(named)).when(greek, spelled(c)).otherwise(c)
 
 
 def math_words(c: Column) -> Column:
     """Fractions, roots, scripts, operators and symbols become plain tokens; one pass, innermost braces only."""
-    for pattern, into in ((r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "frac($1,$2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\^\{([^{}]*)\}", "^($1)"), (r"_\{([^{}]*)\}", "_($1)"), (r"(?U)\\(" + "|".join(NAMED_OPERATORS) + r")\b", "$1")):
-        c = F.regexp_replace(c, pattern, into)
-    for name, word in RENAMED_SYMBOLS.items():
-        c = F.regexp_replace(c, rf"(?U)\\{name}\b", word)
+    steps = [(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "frac($1,$2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\^\{([^{}]*)\}", "^($1)"), (r"_\{([^{}]*)\}", "_($1)")]
+    steps += [(r"(?U)\\(" + "|".join(group) + r")\b", "$1") for group in NAMED_OPERATORS]
+    steps += [(rf"(?U)\\{name}\b", word) for name, word in SYMBOLS.items()]
+    c = reduce(lambda x, step: F.regexp_replace(x, *step), steps, c)
     return reduce(lambda x, p: F.replace(x, F.lit('\\"' + p[0]), F.lit(p[1])), UMLAUTS.items(), c)
 
 

@@ -50,7 +50,9 @@ def rank_sources(matches: DataFrame, first_seen: DataFrame, exact: str, max_sour
     a document has an exact match only those count; then more matches come
     first, and among equals the one seen first.
     """
-    by_source = matches.groupBy("q_doc", "doc").agg(F.count("*").alias("match_count"), F.round(F.avg("match_percentage"), 2).alias("average_similarity"), F.bool_or(exact).alias("has_exact"))
+    # means of hundredths in whole numbers, half up: the same on every engine
+    cents, n = F.sum(F.round(F.col("match_percentage") * 100).cast("long")), F.count("*")
+    by_source = matches.groupBy("q_doc", "doc").agg(n.alias("match_count"), (F.floor((cents * 2 + n) / (n * 2)) / 100).alias("average_similarity"), F.bool_or(exact).alias("has_exact"))
     prefer = by_source.withColumn("_any", F.max("has_exact").over(Window.partitionBy("q_doc"))).where("has_exact OR NOT _any").drop("_any")
     order = Window.partitionBy("q_doc").orderBy(F.desc("match_count"), "_first")
     return prefer.join(first_seen, ["q_doc", "doc"]).withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_sources).drop("_first")

@@ -49,7 +49,7 @@ def source_priority_coalesce(spark: SparkSession, root: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, root: str) -> DataFrame:
     words = tx.tokens(tx.collapse(F.col("text")))
-    return table(spark, root, "chunked_database").where(F.col("text").isNotNull()).select("row_id", F.size(words).cast("long").alias("n_words"), F.coalesce(F.element_at(words, 1), F.lit("")).alias("first_word"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("last_word"))
+    return table(spark, root, "chunked_database").where(F.col("text").isNotNull()).select("row_id", F.size(words).cast("long").alias("n_words"), F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("first_word"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("last_word"))
 
 
 def last_segment(spark: SparkSession, root: str) -> DataFrame:
@@ -106,7 +106,8 @@ def l2_normalize(spark: SparkSession, root: str) -> DataFrame:
 def _matches(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, c = _chunks(spark, root, "eval_items", "item_id"), _chunks(spark, root, "documents", "doc_id")
     found = similarity.top_texts(q, c, k=5, least=THRESHOLD)
-    return report.scored(found, THRESHOLD), q, c
+    # read several times below, so computed once
+    return checkpoint(report.scored(found, THRESHOLD)), q, c
 
 
 def sparse_cosine_topk(spark: SparkSession, root: str) -> DataFrame:
@@ -158,8 +159,7 @@ def exact_phrases(spark: SparkSession, root: str) -> DataFrame:
 
 def _analysis(spark: SparkSession, root: str) -> DataFrame:
     m, q, c = _matches(spark, root)
-    m = checkpoint(m)
-    top = phrases.exact_phrases(_with_texts(report.top_matches(m), q, c).drop("db_text").join(c.select("doc", F.col("chunk_id").alias("chunk"), F.col("chunk_text").alias("db_text")), ["doc", "chunk"]), "query_text", "db_text").withColumn("exact", F.size("phrases") > 0)
+    top = phrases.exact_phrases(_with_texts(report.top_matches(m), q, c), "query_text", "db_text").withColumn("exact", F.size("phrases") > 0)
     top = checkpoint(top.drop("db_text"))
     ranked = report.rank_sources(top, report.first_seen(m), "exact")
     docs = table(spark, root, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("collection", F.lit("N/A")).alias("title"), F.coalesce("source", F.lit("unknown")).alias("source_type"))

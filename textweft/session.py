@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -91,3 +92,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the context may be gone; the folder is temporary anyway
         pass
+
+
+#: Keys a semi join may broadcast; more are joined by a shuffle.
+MOST_KEYS = 1_000_000
+
+
+def only(rows: DataFrame, keys: DataFrame, on: str, most: int = MOST_KEYS) -> DataFrame:
+    """Rows whose ``on`` is among ``keys`` (one column, distinct).
+
+    The keys are stored and counted first: up to ``most`` they are broadcast, so
+    that wide rows are not shuffled to lose most of them; beyond that it is an
+    ordinary shuffled join.
+    """
+    kept = stored(keys)
+    small = kept.count() <= most
+    return rows.join(F.broadcast(kept) if small else kept, on, "left_semi")

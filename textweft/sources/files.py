@@ -63,7 +63,7 @@ def largest_tex(content: bytes) -> bytes | None:
     except tarfile.TarError:
         pass
     try:
-        return gzip.decompress(content)
+        return gzip.decompress(content) or None
     except (OSError, EOFError, ValueError):
         return None
 
