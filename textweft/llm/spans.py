@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint, map_arrow
+from ..session import map_arrow, only, stored
 from .common import require
 from .graph import components
 from .leak import bands_for
@@ -145,7 +145,7 @@ def prepare(rows: DataFrame, key: str, ident: str, text: str, run: int) -> DataF
 def meeting(parts: DataFrame) -> DataFrame:
     """Paragraphs whose band key occurs in more than one paper."""
     shared = parts.groupBy("band").agg(F.min("_paper").alias("_low"), F.max("_paper").alias("_high")).where("_low <> _high").select("band")
-    return parts.join(shared, "band", "left_semi")
+    return only(parts, shared, "band")
 
 
 def common_run(a: str, b: str, i: int, j: int) -> tuple[int, int]:
@@ -180,12 +180,15 @@ def shared_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id",
     Pairs are all listed here; for counts without pairs see ``shared_spans``.
     """
     base = prepare(rows, key, ident, text, run)
-    parts = checkpoint(paragraphs(base, "_text", run, run // 2, 1.0, 0.999))
+    parts = stored(paragraphs(base, "_text", run, run // 2, 1.0, 0.999))
     some = meeting(parts)
     left = some.select("band", F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"))
     right = some.select("band", F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"))
     # one row for each pair and shift: all anchors of one run lie on one diagonal
-    met = left.join(right, "band").where("a < b AND pa <> pb").groupBy("a", "b", (F.col("x") - F.col("y")).alias("shift")).agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    met = stored(left.join(right, "band").where("a < b AND pa <> pb").groupBy("a", "b", (F.col("x") - F.col("y")).alias("shift")).agg(F.sort_array(F.collect_set("x")).alias("xs")))
+    # most rows share nothing: their texts stay where they are
+    named = met.select(F.col("a").alias("_k")).union(met.select("b")).distinct()
+    base = only(base.select("_k", "_text"), named, "_k")
     full = met.join(base.select(F.col("_k").alias("a"), F.col("_text").alias("ta")), "a").join(base.select(F.col("_k").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "shift", "xs", "ta", "tb")
     schema = T.StructType([full.schema["a"], full.schema["b"], *T.StructType.fromDDL("start_a int, start_b int, length int").fields])
 
@@ -232,9 +235,9 @@ def shared_runs(rows: DataFrame, key: str, ident: str, text: str, run: int) -> D
     and of those only the runs that hold such a paragraph.
     """
     base = prepare(rows, key, ident, text, run)
-    some = meeting(checkpoint(paragraphs(base, "_text", run, run // 2, 1.0, 0.999)))
+    some = meeting(stored(paragraphs(base, "_text", run, run // 2, 1.0, 0.999)))
     hits = some.groupBy("_k").agg(F.collect_set("pos").alias("_at"))
-    source = base.join(hits, "_k").select("_k", "_paper", "_text", "_at")
+    source = only(base, some.select("_k").distinct(), "_k").join(hits, "_k").select("_k", "_paper", "_text", "_at")
     schema = T.StructType([base.schema["_k"], base.schema["_paper"], *T.StructType.fromDDL("pos int, h long").fields])
     back = run - run // 2
 
@@ -253,7 +256,7 @@ def shared_runs(rows: DataFrame, key: str, ident: str, text: str, run: int) -> D
                 who = pa.array(np.full(len(pos), i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(pos.astype(np.int32)), pa.array(h[pos].view(np.int64))], names=schema.names)
 
-    runs = checkpoint(map_arrow(source, cut, schema))
+    runs = stored(map_arrow(source, cut, schema))
     shared = runs.groupBy("h").agg(F.min("_paper").alias("_low"), F.max("_paper").alias("_high"), F.min("_k").alias("_first")).where("_low <> _high").select("h", "_first")
     return runs.join(shared, "h").select("_k", "pos", "h", "_first")
 
