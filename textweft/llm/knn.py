@@ -122,7 +122,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", wid
     vec = checkpoint(unit_vectors(rows, key, vector, width))
     total = vec.count()
     classes = vec.groupBy("_h").agg(F.min("_k").alias("_rep"), F.count("*").alias("_n")).where("_n > 1")
-    members = checkpoint(vec.select("_k", "_h").join(classes.select("_h", "_rep"), "_h").select("_k", "_rep"))
+    members = checkpoint(vec.select("_k", "_h").join(classes.select("_h", "_rep"), "_h").select("_k", "_rep").distinct())
     single = vec.join(members.where("_k <> _rep").select("_k"), "_k", "left_anti")
 
     size = shard_rows or int(min(SHARD_ROWS[1], max(SHARD_ROWS[0], 40 * math.sqrt(total))))
@@ -170,6 +170,8 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", wid
     opened = found.join(firsts.select(F.col("_rep").alias("n"), "_ids"), "n", "left").select("q", F.explode(F.coalesce("_ids", F.array("n"))).alias("n"), "cosine")
     own = firsts.select(F.col("_rep").alias("q"), F.explode("_ids").alias("n"), F.lit(1.0).alias("cosine")).where(F.lit(1.0 >= least))
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "n")
-    listed = opened.unionByName(own).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    # a key that is there twice is one neighbour
+    once = opened.unionByName(own).repartition("q").groupBy("q", "n").agg(F.max("cosine").alias("cosine"))
+    listed = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     everyone = listed.join(members.select(F.col("_rep").alias("q"), F.col("_k").alias("_m")), "q", "left").select(F.coalesce("_m", "q").alias("q"), "n", "cosine").where("q <> n")
     return everyone.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias(key), F.col("n").alias("neighbour"), F.least(F.lit(1.0), "cosine").alias("cosine"), "rank")

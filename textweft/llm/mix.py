@@ -154,7 +154,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
 
     Equal texts under several sources form one membership pattern, so repeats
     go first to texts used least.  Null sources and sources without a target are left out;
-    null and empty texts have no tokens and are not selected.  Empty tables give
+    null and empty texts have no tokens and are not selected.  Repeated rows are
+    separate rows.  Empty tables give
     an empty mix.  Only sums by (pattern, source) come to the driver.
     """
     require(documents, key, source, text)
@@ -163,7 +164,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
     names = targets.select(F.col("source").alias("_s")).where("_s IS NOT NULL").distinct()
     own_rows = documents.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_x")).join(names, "_s", "left_semi")
     hashed = own_rows.select("_k", "_s", F.xxhash64("_x").alias("_h1"), F.hash("_x").alias("_h2"), "_x")
-    counted = checkpoint(with_tokens(hashed, ["_k", "_s", "_h1", "_h2"], "_x", ranks))
+    # the row number tells repeated keys apart; it is fixed by being written down
+    counted = checkpoint(with_tokens(hashed, ["_k", "_s", "_h1", "_h2"], "_x", ranks).withColumn("_i", F.monotonically_increasing_id()))
 
     texts = counted.where("tokens > 0").groupBy("_h1", "_h2", "_s").agg(F.sum("tokens").alias("_own"), F.max("tokens").alias("_once"))
     # at most one row a source for each text, whatever the number of copies
@@ -191,9 +193,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
         .join(plan, ["_p", "_s"])
         .withColumn("_rank", unit_interval(F.col("_k"), F.lit(seed)))
     )
-    more = take_by_threshold(rows.where("_rest_tokens > 0"), ["_p", "_s"], "_rank", "_k", "tokens", plan, "_rest_tokens").select("_k", "_s", "tokens", F.lit(1).alias("_n"))
-    full = rows.where("_full > 0").select("_k", "_s", "tokens", F.col("_full").alias("_n"))
-    chosen = full.unionByName(more).groupBy("_k", "_s", "tokens").agg(F.sum("_n").alias("repeats"))
+    more = take_by_threshold(rows.where("_rest_tokens > 0"), ["_p", "_s"], "_rank", "_i", "tokens", plan, "_rest_tokens").select("_i", "_k", "_s", "tokens", F.lit(1).alias("_n"))
+    full = rows.where("_full > 0").select("_i", "_k", "_s", "tokens", F.col("_full").alias("_n"))
+    chosen = full.unionByName(more).groupBy("_i", "_k", "_s", "tokens").agg(F.sum("_n").alias("repeats"))
     chosen = chosen.select(F.col("_k").alias(key), F.col("_s").alias(source), "tokens", "repeats")
 
     sums: dict = dict.fromkeys(want, 0)

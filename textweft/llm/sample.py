@@ -40,14 +40,9 @@ def with_category(papers: DataFrame, dim: DataFrame, name: str = "top_category_n
     require(papers, name, code)
     names = dim.where(F.col("top_name").isNotNull()).groupBy(squeeze(F.col("top_name")).alias("_nk")).agg(F.min("top_name").alias("_by_name"))
     codes = dim.where(F.col("sub_code").isNotNull()).groupBy(squeeze(F.col("sub_code")).alias("_ck")).agg(F.min("top_name").alias("_by_code"))
-    return (
-        papers.withColumn("_nk", squeeze(F.col(name)))
-        .withColumn("_ck", squeeze(F.col(code)))
-        .join(names, "_nk", "left")
-        .join(codes, "_ck", "left")
-        .withColumn(out, F.coalesce("_by_name", "_by_code"))
-        .drop("_nk", "_ck", "_by_name", "_by_code")
-    )
+    # the row travels as one column, so its own column names cannot clash
+    packed = papers.select(F.struct(*[F.col(c) for c in papers.columns if c != out]).alias("_row"), squeeze(F.col(name)).alias("_nk"), squeeze(F.col(code)).alias("_ck"))
+    return packed.join(names, "_nk", "left").join(codes, "_ck", "left").select("_row.*", F.coalesce("_by_name", "_by_code").alias(out))
 
 
 def fill_to(wanted: np.ndarray, most: np.ndarray, total: float) -> np.ndarray:
@@ -130,9 +125,10 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
     """
     require(rows, key, category, *margins)
     spark = rows.sparkSession
-    pool = rows.where(F.col(category).isNotNull())
     marked = [F.coalesce(F.col(m).cast("string"), F.lit("\0")).alias(f"_m{i}") for i, m in enumerate(margins)]
-    cells = bounded_collect(pool.select(F.col(category).alias("_c"), *marked).groupBy("_c", *[f"_m{i}" for i in range(len(margins))]).count(), MAX_CELLS, "cells of the margins")
+    # the row travels as one column, so its own column names cannot clash
+    pool = rows.where(F.col(category).isNotNull()).select(F.struct(*[F.col(c) for c in rows.columns]).alias("_row"), F.col(key).alias("_key"), F.col(category).alias("_c"), *marked)
+    cells = bounded_collect(pool.groupBy("_c", *[f"_m{i}" for i in range(len(margins))]).count(), MAX_CELLS, "cells of the margins")
     want = {r["top_name"]: (float(r["target_share"] or 0), int(r["min_rows"] or 0)) for r in bounded_collect(targets.where("top_name IS NOT NULL"), MAX_CELLS, "targets")}
     n_pool = sum(r["count"] for r in cells)
     size = int(n_pool * fraction)
@@ -163,13 +159,12 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
     quotas = spark.createDataFrame([(n, int(q)) for n, q in zip(names, quota, strict=True)], "_c string, _q long")
 
     ranked = (
-        pool.select("*", F.col(category).alias("_c"), *marked)
-        .join(weights, ["_c", *[f"_m{i}" for i in range(len(margins))]])
+        pool.join(weights, ["_c", *[f"_m{i}" for i in range(len(margins))]])
         # exp(-key) = u ** (1 / weight): the same order, but inside (0, 1)
-        .withColumn("_rank", 1 - F.pow(unit_interval(F.col(key), F.lit(seed)), 1 / F.col("_w")))
+        .withColumn("_rank", 1 - F.pow(unit_interval(F.col("_key"), F.lit(seed)), 1 / F.col("_w")))
         .withColumn("_one", F.lit(1))
     )
-    drawn = take_by_threshold(ranked, ["_c"], "_rank", key, "_one", quotas, "_q").select(*rows.columns)
+    drawn = take_by_threshold(ranked, ["_c"], "_rank", "_key", "_one", quotas, "_q").select("_row.*")
 
     base = spark.createDataFrame([(n, want[n][0], want[n][1], int(have[k]), max(float(want[n][1]), want[n][0] * size)) for k, n in enumerate(names)], "top_name string, target_share double, min_rows int, pool_rows long, wanted_rows double")
     got = drawn.groupBy(F.col(category).alias("top_name")).agg(F.count("*").alias("sampled_rows"))
