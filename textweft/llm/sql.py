@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from .glyphs import fold_character
+
 P1_POOL = r"""
   WITH names AS (SELECT lower(trim(regexp_replace(top_name, '\s+', ' ', 'g'))) AS k, min(top_name) AS top FROM category_dim GROUP BY 1),
   codes AS (SELECT lower(trim(sub_code)) AS k, min(top_name) AS top FROM category_dim GROUP BY 1),
@@ -13,11 +17,68 @@ P1_POOL = r"""
   size AS (SELECT count(*) // 4 AS m FROM pool)
 """
 
-SQL = {
-    "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
-    "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
-}
+P3 = r"""
+  WITH rows AS (SELECT record_id, CASE WHEN split = 'train' THEN 0 WHEN split IN ('val', 'test') THEN 1 END AS side, nullif(regexp_extract(lower(arxiv_id), '([0-9]+\.[0-9]+)(?:v[0-9]+)?[^0-9a-z]*$', 1), '') AS paper,
+      list_distinct(regexp_extract_all(lower(abstract), '[a-z0-9]+')) AS words FROM papers),
+  a AS (SELECT * FROM rows WHERE side = 0), b AS (SELECT * FROM rows WHERE side = 1),
+  pairs AS (SELECT a.record_id AS x, b.record_id AS y FROM a JOIN b ON a.paper = b.paper
+    UNION SELECT x, y FROM (SELECT a.record_id AS x, b.record_id AS y, len(a.words) AS n, len(b.words) AS m, len(list_intersect(a.words, b.words)) AS i FROM a JOIN b ON len(a.words) > 0 AND least(len(a.words), len(b.words)) >= 0.7 * greatest(len(a.words), len(b.words))) WHERE i >= 0.7 * (n + m - i))
+  SELECT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM pairs
+"""
+
+P4 = """
+  WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM faiss_metadata WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  s AS (SELECT a.vec_id AS q, b.vec_id AS n, round(array_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS k FROM s WHERE c >= 0.85)
+  SELECT DISTINCT least(q, n) AS vec_id_a, greatest(q, n) AS vec_id_b FROM r WHERE k <= 5
+"""
+
+P5 = r"""
+  WITH rows AS (SELECT row_id, regexp_replace(trim(arxiv_id), 'v[0-9]+$', '') AS paper, text FROM chunked_database WHERE length(text) >= 200 AND arxiv_id IS NOT NULL),
+  grams AS (SELECT row_id, paper, md5_number(substr(text, i, 200)) AS g FROM (SELECT *, unnest(range(1, length(text) - 198)) AS i FROM rows)),
+  shared AS (SELECT g FROM grams GROUP BY g HAVING min(paper) <> max(paper)),
+  hits AS (SELECT DISTINCT row_id, paper, g FROM grams JOIN shared USING (g))
+  SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM hits a JOIN hits b USING (g) WHERE a.row_id < b.row_id AND a.paper <> b.paper
+"""
+
+P8 = r"""
+  WITH t AS (SELECT source, sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')))::DOUBLE AS n FROM documents WHERE source IN (SELECT source FROM source_targets) GROUP BY 1)
+  SELECT s.source FROM source_targets s LEFT JOIN t USING (source) WHERE s.max_repeats * coalesce(t.n, 0) < s.target_share * (SELECT sum(n) FROM t)
+"""
+
+
+def p6() -> str:
+    """Texts folded by one table and compared, without tries."""
+    single, several, gone = {}, {}, []
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn":
+            continue
+        into = fold_character(code)
+        if into == c:
+            continue
+        if not into:
+            gone.append(code)
+        elif len(into) == 1:
+            single[c] = into
+        else:
+            several[c] = into
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    x = f"regexp_replace(text, '[{''.join(f'\\x{{{c:x}}}' for c in gone)}]', '', 'g')"
+    for c, into in several.items():
+        x = f"replace({x}, {lit(c)}, {lit(into)})"
+    x = f"nfc_normalize(translate({x}, {lit(''.join(single))}, {lit(''.join(single.values()))}))"
+    x = rf"trim(regexp_replace({x}, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))"
+    return f"WITH f AS (SELECT row_id, text, {x} AS form FROM chunked_database WHERE text IS NOT NULL) SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM f a JOIN f b USING (form) WHERE form <> '' AND a.row_id < b.row_id AND a.text <> b.text"
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {
+        "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
+        "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
+        "p3_found": P3,
+        "p4_found": P4,
+        "p5_found": P5,
+        "p6_found": p6(),
+        "p8_found": P8,
+    }
