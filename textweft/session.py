@@ -94,17 +94,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Keys a semi join may broadcast; more are joined by a shuffle.
+#: Rows of a key table that may be broadcast; more are joined by a shuffle.
 MOST_KEYS = 1_000_000
 
 
-def only(rows: DataFrame, keys: DataFrame, on: str, most: int = MOST_KEYS) -> DataFrame:
-    """Rows whose ``on`` is among ``keys`` (one column, distinct).
+def attach(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", most: int = MOST_KEYS) -> DataFrame:
+    """Join ``rows`` with a narrow table of keys that is expected to be small.
 
     The keys are stored and counted first: up to ``most`` they are broadcast, so
     that wide rows are not shuffled to lose most of them; beyond that it is an
     ordinary shuffled join.
     """
     kept = stored(keys)
-    small = kept.count() <= most
-    return rows.join(F.broadcast(kept) if small else kept, on, "left_semi")
+    return rows.join(F.broadcast(kept) if kept.count() <= most else kept, on, how)
+
+
+def only(rows: DataFrame, keys: DataFrame, on: str, most: int = MOST_KEYS) -> DataFrame:
+    """Rows whose ``on`` is among ``keys`` (one column, distinct); see :func:`attach`."""
+    return attach(rows, keys, on, "left_semi", most)
