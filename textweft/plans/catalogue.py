@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,7 +232,7 @@ def newest_papers_by_category(spark: SparkSession, root: str) -> DataFrame:
 
 def jsonl_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
-    path = f"{shared_folder(spark)}/lines-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     files.write_json_lines(rows, path)
     return files.json_lines(spark, path, "doc_id bigint, text string, lang string, source string").select("doc_id", F.md5(F.coalesce("text", F.lit("<null>"))).alias("digest"), "lang", "source")
 
@@ -352,7 +352,7 @@ def stream_filedrop(spark: SparkSession, root: str) -> DataFrame:
     from ..streaming import filedrop
 
     source = table(spark, root, "documents").select("doc_id", "text")
-    home = tempfile.mkdtemp(prefix="filedrop-") if spark.sparkContext.master.startswith("local[") else f"{shared_folder(spark)}/filedrop-{spark.sparkContext.applicationId}"
+    home = f"{shared_folder(spark)}/filedrop-{uuid.uuid4().hex}"
     drop, target = f"{home}/in", f"{home}/out"
     source.write.mode("overwrite").parquet(drop)
     filedrop.write_once(filedrop.watch(spark, drop, source.schema), "doc_id", target, f"{home}/state", lambda d: d.select("doc_id", F.size(tx.tokens(tx.normalise(F.col("text")))).alias("n_words")))
