@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, map_arrow
+from ..session import attach, map_arrow, only, stored
 from .common import require
 
 WORD = re.compile("[a-z0-9]+")
@@ -106,6 +106,12 @@ def record_chunks(rows: DataFrame, keep: list[str], text: str, divisor: int = 3,
             owner = np.concatenate([np.searchsorted(starts, begin, side="right") - 1 for begin, _ in parts])
             order = np.argsort(owner, kind="stable")
             digest, long = np.concatenate([d for _, d in parts])[order], long[order]
+            # a chunk repeated inside a record is there once, with its summed length
+            order = np.lexsort((digest, owner[order]))
+            owner, digest, long = np.sort(owner), digest[order], long[order]
+            fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])])
+            long = np.add.reduceat(long, np.flatnonzero(fresh)).astype(np.int32)
+            owner, digest = owner[fresh], digest[fresh]
             edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(starts)))]).astype(np.int32)
             sets = [np.unique(hashes[a : a + s]) for a, s in zip(starts, size, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -150,26 +156,28 @@ def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "a
     by_id = ids.where("_side = 0").select("_paper", F.col("_k").alias("train_id")).join(ids.where("_side = 1").select("_paper", F.col("_k").alias("eval_id")), "_paper").select("train_id", "eval_id", F.lit(True).alias("same_paper"))
 
     plain = F.regexp_replace(F.lower(F.col("_x")), "[^a-z0-9]+", " ")
-    keyed = sides.where("_x IS NOT NULL").select("_k", "_side", F.xxhash64(F.trim(plain)).alias("_c"), "_x")
+    keyed = sides.where("_x IS NOT NULL").select("_k", "_side", F.xxhash64(F.trim(plain)).alias("_c"), F.monotonically_increasing_id().alias("_i"), "_x")
     members = keyed.select("_k", "_side", "_c")
-    classes = keyed.groupBy("_c").agg(F.min_by("_x", "_k").alias("_x"), F.min("_side").alias("_low"), F.max("_side").alias("_high"))
-    cut = checkpoint(record_chunks(classes, ["_c", "_low", "_high"], "_x"))
-
-    chunks = cut.select("_c", "_low", "_high", "n_words", F.aggregate("lengths", F.lit(0), lambda a, x: a + x).alias("_total"), F.explode(F.arrays_zip("digests", "lengths")).alias("_z")).select("_c", "_low", "_high", "n_words", "_total", F.col("_z.digests").alias("_d"), F.col("_z.lengths").alias("_l"))
-    # a chunk repeated inside a record counts once with its summed length
-    chunks = chunks.groupBy("_c", "_low", "_high", "n_words", "_total", "_d").agg(F.sum("_l").alias("_l"))
-    freq = chunks.groupBy("_d").agg(F.count("*").alias("_n"), F.min("_low").alias("_has_train"), F.max("_high").alias("_has_eval")).where("_n > 1 AND _has_train = 0 AND _has_eval = 1")
-    shared = chunks.join(freq.select("_d", "_n"), "_d", "left")
-    # chunks that no other record has (null _n) come first in rarity, and join with nothing
-    run = Window.partitionBy("_c").orderBy(F.coalesce("_n", F.lit(0)), "_d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    useful = shared.withColumn("_from", F.sum("_l").over(run)).where("_n IS NOT NULL AND _from >= _total * %r" % float(least))
+    # of equal texts the first row stands for all; most texts stand alone and are not moved
+    copies = keyed.groupBy("_c").agg(F.min("_i").alias("_rep"), F.min("_side").alias("_l"), F.max("_side").alias("_h"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    classes = attach(keyed, copies, "_c", "left").where("_rep IS NULL OR _i = _rep").select("_c", F.coalesce("_l", "_side").alias("_low"), F.coalesce("_h", "_side").alias("_high"), "_x")
+    cut = stored(record_chunks(classes, ["_c", "_low", "_high"], "_x"))
+
+    chunks = cut.select("_c", "_low", "_high", "n_words", F.aggregate("lengths", F.lit(0), lambda a, x: a + x).alias("_total"), F.explode(F.arrays_zip("digests", "lengths")).alias("_z"))
+    chunks = chunks.select("_c", "_low", "_high", "n_words", "_total", F.col("_z.digests").alias("_d"), F.col("_z.lengths").alias("_l"))
+    freq = chunks.groupBy("_d").agg(F.count("*").alias("_n"), F.min("_low").alias("_lo"), F.max("_high").alias("_hi")).where("_n > 1 AND _lo = 0 AND _hi = 1").select("_d", "_n")
+    # what follows a chunk in the order of rarity are chunks both sides have, so the others need not be there
+    run = Window.partitionBy("_c").orderBy("_n", "_d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    useful = stored(attach(chunks, freq, "_d").withColumn("_from", F.sum("_l").over(run)).where("_from >= _total * %r" % float(least)).select("_d", "_c", "_low", "_high", "n_words"))
     a = useful.where("_low = 0").select("_d", F.col("_c").alias("_a"), F.col("n_words").alias("_an"))
     b = useful.where("_high = 1").select("_d", F.col("_c").alias("_b"), F.col("n_words").alias("_bn"))
     # sets of too different sizes cannot have that much in common
     near = (F.least("_an", "_bn") >= F.greatest("_an", "_bn") * F.lit(similarity - 1e-9)) & (F.col("_a") != F.col("_b"))
-    met = a.join(b, "_d").where(near).select("_a", "_b").distinct()
+    met = stored(a.join(b, "_d").where(near).select("_a", "_b").distinct())
+    named = met.select(F.col("_a").alias("_c")).union(met.select("_b")).distinct()
+    asked = only(cut.select("_c", "words", "n_words", "digests", "lengths"), named, "_c")
 
-    side = lambda n: cut.select(F.col("_c").alias(n), F.col("words").alias(n + "_w"), F.col("n_words").alias(n + "_n"), F.col("digests").alias(n + "_d"), F.col("lengths").alias(n + "_l"))
+    side = lambda n: asked.select(F.col("_c").alias(n), F.col("words").alias(n + "_w"), F.col("n_words").alias(n + "_n"), F.col("digests").alias(n + "_d"), F.col("lengths").alias(n + "_l"))
     pairs = met.join(side("_a"), "_a").join(side("_b"), "_b")
     both = F.size(F.array_intersect("_a_w", "_b_w"))
     sum_of = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
