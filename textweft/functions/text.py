@@ -6,8 +6,6 @@ whole-stage code generation and returns null for null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,50 +35,51 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-def greek_words(c: Column) -> Column:
-    """Greek letters, as commands or as characters, become their English names.
+def in_turn(c: Column, steps: list[tuple[str, str]]) -> Column:
+    """Replace the patterns one after the other.
 
-    Name by name: a command directly followed by an earlier name's word is no
-    command any more.  Only texts with a backslash or a Greek letter take part.
+    A fold over a constant array instead of a nest of calls: the expression
+    stays small however many steps there are.
     """
-    named = reduce(lambda x, name: F.regexp_replace(x, rf"(?U)\\{name}\b", name.lower()), GREEK_NAMES, c)
-    spelled = lambda t: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1].lower())), zip(GREEK_LETTERS, GREEK_NAMES, strict=True), t)
-    greek = c.rlike("[\u0391-\u03c9]")
-    return F.when(F.contains(c, F.lit("\\")), F.when(greek, spelled(named)).otherwise(named)).when(greek, spelled(c)).otherwise(c)
-
-
-def math_words(c: Column) -> Column:
-    """Fractions, roots, scripts, operators and symbols become plain tokens; one pass, innermost braces only."""
-    steps = [(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "frac($1,$2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\^\{([^{}]*)\}", "^($1)"), (r"_\{([^{}]*)\}", "_($1)")]
-    steps += [(r"(?U)\\(" + "|".join(group) + r")\b", "$1") for group in NAMED_OPERATORS]
-    steps += [(rf"(?U)\\{name}\b", word) for name, word in SYMBOLS.items()]
-    c = reduce(lambda x, step: F.regexp_replace(x, *step), steps, c)
-    return reduce(lambda x, p: F.replace(x, F.lit('\\"' + p[0]), F.lit(p[1])), UMLAUTS.items(), c)
-
-
-def drop_commands(c: Column) -> Column:
-    """Commands that are left, and braces, brackets and dollar signs, become spaces."""
-    return F.regexp_replace(F.regexp_replace(c, r"\\[a-zA-Z]+\*?(?U:[\s\x1c-\x1f])*", " "), r"[{}\[\]$]", " ")
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in steps])
+    return F.aggregate(table, c, lambda text, step: F.regexp_replace(text, step["p"], step["i"]))
+
+
+#: Name by name: a command directly followed by the word of an earlier name is no command any more.
+GREEK_COMMANDS = [(rf"(?U)\\{name}\b", name.lower()) for name in GREEK_NAMES]
+GREEK_CHARACTERS = [(letter, name.lower()) for letter, name in zip(GREEK_LETTERS, GREEK_NAMES, strict=True)]
+#: One pass, innermost braces only.
+MATHEMATICS = [
+    (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "frac($1,$2)"),
+    (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
+    (r"\^\{([^{}]*)\}", "^($1)"),
+    (r"_\{([^{}]*)\}", "_($1)"),
+    *[(r"(?U)\\(" + "|".join(group) + r")\b", "$1") for group in NAMED_OPERATORS],
+    *[(rf"(?U)\\{name}\b", word) for name, word in SYMBOLS.items()],
+    *[(rf'\\"{plain}', dotted) for plain, dotted in UMLAUTS.items()],
+]
+#: Commands that are left, and braces, brackets and dollar signs, become spaces.
+LEFTOVERS = [(r"\\[a-zA-Z]+\*?(?U:[\s\x1c-\x1f])*", " "), (r"[{}\[\]$]", " ")]
 
 
 def normalise(c: Column) -> Column:
     """The canonical form compared everywhere: tokens for mathematics, lower case, single spaces.
 
-    The steps run only for texts that hold a backslash or a script brace, so
-    plain text costs two passes.
+    Texts without a backslash, a script brace or a Greek letter, which is most
+    plain text, take two passes.
     """
-    heavy = drop_commands(math_words(greek_words(c)))
-    light = F.regexp_replace(greek_words(c), r"[{}\[\]$]", " ")
-    return collapse(F.lower(F.when(c.rlike(r"\\|[_^]\{"), heavy).otherwise(light)))
+    markup = in_turn(c, [*GREEK_COMMANDS, *GREEK_CHARACTERS, *MATHEMATICS, *LEFTOVERS])
+    greek = in_turn(c, [*GREEK_CHARACTERS, LEFTOVERS[1]])
+    out = F.when(c.rlike(r"\\|[_^]\{"), markup).when(c.rlike("[\u0391-\u03c9]"), greek).otherwise(F.regexp_replace(c, *LEFTOVERS[1]))
+    return collapse(F.lower(out))
 
 
 def strip_structure(c: Column) -> Column:
     """LaTeX without comments, preamble, bibliography and environments; text of known commands kept."""
     c = F.regexp_replace(c, r"%[^\n]*", " ")
-    c = F.regexp_replace(c, r"(?s)^.*?\\begin\{document\}", "")
-    c = F.regexp_replace(c, r"(?is)\\begin\{thebibliography\}.*$", "")
-    c = reduce(lambda x, name: F.regexp_replace(x, rf"\\{name}\*?\{{([^{{}}]*)\}}", "$1"), UNWRAPPED, c)
-    return F.regexp_replace(c, r"\\(begin|end)\{[^}]*\}", " ")
+    steps = [(r"(?s)^.*?\\begin\{document\}", ""), (r"(?is)\\begin\{thebibliography\}.*$", "")]
+    steps += [(rf"\\{name}\*?\{{([^{{}}]*)\}}", "$1") for name in UNWRAPPED]
+    return F.when(F.contains(c, F.lit("\\")), in_turn(c, [*steps, (r"\\(begin|end)\{[^}]*\}", " ")])).otherwise(c)
 
 
 def clean_extracted(c: Column) -> Column:

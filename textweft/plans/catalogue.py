@@ -11,7 +11,7 @@ from ..functions import contact
 from ..functions import text as tx
 from ..functions import vector as vec
 from ..operators import chunking, classify, labels, phrases, registry, report, similarity
-from ..session import checkpoint, shared_folder, table
+from ..session import checkpoint, shared_folder, spread, table
 from ..sources import files
 from . import literals, sql
 
@@ -21,7 +21,7 @@ SEED = 42
 
 # -- text ---------------------------------------------------------------
 def norm_text(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", tx.normalise(F.col("text")).alias("norm"))
+    return spread(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", tx.normalise(F.col("text")).alias("norm"))
 
 
 def norm_latex_literals(spark: SparkSession, root: str) -> DataFrame:
@@ -57,7 +57,7 @@ def last_segment(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    rows = table(spark, root, name).select(F.col(key).alias("doc"), tx.normalise(F.col("text")).alias("norm"))
+    rows = spread(table(spark, root, name).select(F.col(key).alias("doc"), "text")).select("doc", tx.normalise(F.col("text")).alias("norm"))
     return chunking.chunks(rows, "norm")
 
 
@@ -364,7 +364,7 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
     return analyze_report(spark, root)
 
 
-HELPERS = {"flagship", "queries", "oracle_sql", "table", "checkpoint", "shared_folder"}
+HELPERS = {"flagship", "queries", "oracle_sql"}
 
 
 def queries() -> dict:

@@ -112,3 +112,13 @@ def attach(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", most:
 def only(rows: DataFrame, keys: DataFrame, on: str, most: int = MOST_KEYS) -> DataFrame:
     """Rows whose ``on`` is among ``keys`` (one column, distinct); see :func:`attach`."""
     return attach(rows, keys, on, "left_semi", most)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Give costly row-wise work at least one partition a core.
+
+    A table of one small file is one task however long its work takes; tables
+    that already have a partition for each core stay as they are, unshuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
