@@ -50,6 +50,35 @@ def test_overlap_equals_brute_force(spark):
     assert overlap.cross_split_overlap(df.limit(0)).count() == 0
 
 
+def test_overlap_finds_pairs_without_a_common_chunk(spark):
+    rows, want = [], set()
+    for i in range(30):
+        n = int(RNG.integers(75, 141))
+        base = [f"{'c' if j % 3 else 'r'}{j if j % 3 else 1000 * i + j}" for j in range(n)]
+        edits = int(n * 0.3 / 1.7)
+        even = list(base)
+        for j in np.linspace(0, n - 1, edits).astype(int):  # single words all over, just above 0.7
+            even[j] = f"e{i}x{j}"
+        rows += [(4 * i, base, "train"), (4 * i + 1, even, "val"), (4 * i + 2, base[::-1], "test"), (4 * i + 3, base[: n // 2], "test")]
+    rows += [(900, ["one"], "train"), (901, ["one", "one"], "val"), (902, ["b", "a"], "train"), (903, ["a", "b", "a"], "val")]
+    for a, x, s in rows:
+        for b, y, t in rows:
+            if s == "train" and t != "train" and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.7:
+                want.add((a, b))
+    df = spark.createDataFrame([(k, None, " ".join(w), s) for k, w, s in rows], "record_id long, arxiv_id string, abstract string, split string")
+    assert len(want) >= 62
+    assert {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlap(df).collect()} == want
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_similar_sets_equal_brute_force(spark, block):
+    sets = {i: np.unique(RNG.integers(0, 45, int(RNG.integers(1, 60)))) for i in range(160)}
+    side = lambda which: spark.createDataFrame([(i, [int(w) for w in s], len(s)) for i, s in sets.items() if which(i)], "_c long, words array<bigint>, n_words int")
+    got = overlap.similar_sets(side(lambda i: i % 3), side(lambda i: i % 2 == 0), 0.7, block=block).collect()
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a % 3 and b % 2 == 0 and a != b and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.7}
+    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_chunks_resynchronise():
     a = RNG.integers(1, 2**62, 80).astype(np.uint64)
     b = np.concatenate([a[:20], RNG.integers(1, 2**62, 3).astype(np.uint64), a[20:]])

@@ -3,6 +3,8 @@
 Normalised records are cut into content-defined chunks by a rolling hash of
 their words, chunk digests are joined across splits, and the shared chunk
 lengths give each pair's overlap; an exact comparison of the word sets follows.
+Pairs whose edits leave too few chunks alone come from a second, lossless
+search over the rarest words of each set.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import attach, map_arrow, only, stored
+from ..session import attach, map_arrow, only, spread, stored
 from .common import require
 
 WORD = re.compile("[a-z0-9]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Held-out word sets that travel to the workers at once.
+BLOCK = 16_384
+#: Words ordered by how often they occur; all others come before them, by their hash.
+RANKED = 20_000
 
 
 def paper_number(col: Column) -> Column:
@@ -131,22 +137,101 @@ def record_chunks(rows: DataFrame, keep: list[str], text: str, divisor: int = 3,
     return map_arrow(rows.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
+def rare_prefixes(sets: list[np.ndarray], common: np.ndarray, similarity: float, shared: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The first words of each set in one order for all sets, and how many of them a similar set must share.
+
+    The order is: words not in ``common`` (sorted), then ``common`` from its
+    end.  Two sets of n and m words with ``similarity`` in common share at least
+    ceil(similarity * max(n, m)) words, and the first ``shared`` of these stand
+    among the first n - ceil(similarity * n) + ``shared`` words of either set.
+    """
+    by_word = np.argsort(common)
+    ordered = common[by_word]
+    out, least = [], np.zeros(len(sets), np.int64)
+    for i, words in enumerate(sets):
+        need = int(np.ceil(similarity * len(words) - 1e-9))
+        least[i] = min(shared, need)
+        place = np.full(len(words), -1)
+        if len(ordered):
+            at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
+            place = np.where(ordered[at] == words, len(common) - 1 - by_word[at], -1)
+        out.append(words[np.lexsort((words, place))][: len(words) - need + shared])
+    return out, least
+
+
+def similar_sets(train: DataFrame, held: DataFrame, similarity: float, shared: int = 16, block: int = BLOCK) -> DataFrame:
+    """(_a, _b): every train and held-out class whose word sets have ``similarity`` in common; nothing is missed.
+
+    Both sides: _c, words (sorted distinct hashes), n_words.  Held-out sets go
+    to the workers in blocks ordered by size; a block scans the train sets of
+    fitting size once, counts the words each pair shares in both prefixes
+    (:func:`rare_prefixes`) and compares the sets of those that reach the least.
+    """
+    words = train.select("words").union(held.select("words")).select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1")
+    common = np.array([r["w"] for r in words.orderBy(F.desc("count"), "w").limit(RANKED).collect()], np.int64)
+
+    def scan(rows):
+        names = np.array([r["_c"] for r in rows], np.int64)
+        sets = [np.array(r["words"], np.int64) for r in rows]
+        sizes = np.array([len(s) for s in sets])
+
+        def run(batches):
+            import pyarrow as pa
+
+            from textweft.llm.overlap import rare_prefixes as prefixes
+
+            heads, least = prefixes(sets, common, similarity, shared)
+            owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            word = np.concatenate(heads)
+            order = np.argsort(word, kind="stable")
+            word, owner = word[order], owner[order]
+            for batch in batches:
+                theirs = [np.array(w, np.int64) for w in batch.column(1).to_pylist()]
+                keys = batch.column(0).to_pylist()
+                found, needed = prefixes(theirs, common, similarity, shared)
+                a, b = [], []
+                for key, mine, head, need in zip(keys, theirs, found, needed, strict=True):
+                    low, high = np.searchsorted(word, head, side="left"), np.searchsorted(word, head, side="right")
+                    hits = [owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
+                    if not hits:
+                        continue
+                    n = np.bincount(np.concatenate(hits), minlength=len(sets))
+                    fits = np.minimum(sizes, len(mine)) >= np.maximum(sizes, len(mine)) * (similarity - 1e-9)
+                    for j in np.flatnonzero((n >= np.minimum(least, need)) & fits & (names != key)).tolist():
+                        both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                        if both / (len(mine) + len(sets[j]) - both) >= similarity:
+                            a.append(key)
+                            b.append(int(names[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["_a", "_b"])
+
+        smallest, largest = int(sizes.min() * (similarity - 1e-9)), int(sizes.max() / (similarity - 1e-9)) + 1
+        return map_arrow(train.where(F.col("n_words").between(smallest, largest)).select("_c", "words"), run, "_a long, _b long")
+
+    out = train.sparkSession.createDataFrame([], "_a long, _b long")
+    rows: list = []
+    for row in held.select("_c", "words", "n_words").orderBy("n_words", "_c").toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            out, rows = out.union(scan(rows)), []
+    return out.union(scan(rows)) if rows else out
+
+
 def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "arxiv_id", text: str = "abstract", split: str = "split", similarity: float = 0.7, least: float = 0.15) -> DataFrame:
     """Pairs of a train row and a val or test row that are one record.
 
     Columns: train_id, eval_id, same_paper, overlap (shared chunk length as a
     part of the shorter record, null if only the id matches), similarity (of the
     word sets).  A pair is reported if the ids name one paper or the word sets
-    have ``similarity`` in common.  Candidates for the latter share chunks that
-    make up ``least`` of the shorter record, over two independent cuttings.
-    Edits leave most chunks alone as long as they do not hit every sixth word;
-    of pairs just above 0.7 with single words replaced evenly all over, about
-    one in sixteen shares less than 0.15.
+    have ``similarity`` in common, whatever their overlap.  Candidates for the
+    latter share chunks that make up ``least`` of the shorter record, over two
+    independent cuttings.  Edits that hit single words all over, or another
+    order of the words, leave too few chunks alone; such pairs come from
+    :func:`similar_sets`, a second step that misses none.
 
     Equal texts of one side are one class until the end, so a hot text is
     compared once.  Only a record's rarest chunks are joined: those left out
     together make up less than ``least`` of it, so a pair that shares none of
-    the joined ones could not reach ``least``.  Nulls and blanks in ``text``
+    the joined ones could not reach ``least`` and is left to the second step.  Nulls and blanks in ``text``
     have no words, in ``ident`` no paper, in ``split`` no side.
     """
     require(rows, key, ident, text, split)
@@ -173,7 +258,8 @@ def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "a
     b = useful.where("_high = 1").select("_d", F.col("_c").alias("_b"), F.col("n_words").alias("_bn"))
     # sets of too different sizes cannot have that much in common
     near = (F.least("_an", "_bn") >= F.greatest("_an", "_bn") * F.lit(similarity - 1e-9)) & (F.col("_a") != F.col("_b"))
-    met = stored(a.join(b, "_d").where(near).select("_a", "_b").distinct())
+    spared = similar_sets(spread(cut.where("_low = 0").select("_c", "words", "n_words")), cut.where("_high = 1"), similarity)
+    met = stored(a.join(b, "_d").where(near).select("_a", "_b").union(spared).distinct())
     named = met.select(F.col("_a").alias("_c")).union(met.select("_b")).distinct()
     asked = only(cut.select("_c", "words", "n_words", "digests", "lengths"), named, "_c")
 
@@ -186,7 +272,6 @@ def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "a
         pairs.withColumn("similarity", both / (F.col("_a_n") + F.col("_b_n") - both))
         .where(F.col("similarity") >= similarity)
         .withColumn("overlap", F.least(F.lit(1.0), hit / F.least(sum_of("_a_l"), sum_of("_b_l"))))
-        .where(F.col("overlap") >= least)
         .select("_a", "_b", "overlap", "similarity")
     )
     same = cut.where("_low = 0 AND _high = 1").select(F.col("_c").alias("_a"), F.col("_c").alias("_b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("similarity"))
