@@ -162,3 +162,13 @@ def test_evaluation_by_hand(spark):
 def test_schema_upgrade(spark):
     old = spark.createDataFrame([(1, "x", 9)], "id int, email string, extra int")
     assert schemas.upgrade(old, "id bigint, email string, google_id string").collect() == [(1, "x", None)]
+
+
+def test_near_texts_keeps_every_copy(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, 0, words) for i in range(12)] + [(50, 0, words + " more"), (51, 0, "other " * 20), (0, 1, words)]
+    c = spark.createDataFrame([(d, k, t.strip()) for d, k, t in rows], "doc long, chunk_id int, chunk_text string")
+    for block in (1, 100):
+        got = similarity.near_texts(c.where("doc IN (0, 51)"), c, 0.8, block=block).collect()
+        want = {(q, j, d, k) for q, j in ((0, 0), (0, 1)) for d, k, _ in rows if d != 51 and (d, k) != (q, j)}
+        assert len(got) == len(want) == 26 and {(r["q_doc"], r["q_chunk"], r["doc"], r["chunk"]) for r in got} == want

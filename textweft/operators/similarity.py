@@ -38,9 +38,9 @@ def _join(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
-def best_of(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and query positions of all scores (rows x queries) that reach ``least`` and a query's k-th best; ties are kept."""
-    if scores.shape[0] > k:
+def best_of(scores: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and query positions of all scores (rows x queries) that reach ``least`` and a query's k-th best (without ``k`` all that reach ``least``); ties are kept."""
+    if k is not None and scores.shape[0] > k:
         cut = np.partition(scores, scores.shape[0] - k, axis=0)[scores.shape[0] - k]
         return np.nonzero((scores >= cut[None, :]) & (scores >= least))
     return np.nonzero(scores >= least)
@@ -108,6 +108,21 @@ def top_texts(queries: DataFrame, corpus: DataFrame, k: int = 5, least: float =
     Dot products and squared norms are whole numbers, so the result does not
     depend on the order of summation.  Ties go to the smaller doc and chunk.
     """
+    w = Window.partitionBy("q_doc", "q_chunk").orderBy(F.desc("cosine"), "doc", "chunk")
+    return _scored_texts(queries, corpus, k, least, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def near_texts(queries: DataFrame, corpus: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(q_doc, q_chunk, doc, chunk, cosine): every chunk other than the query itself at ``least`` or above, exact.
+
+    Sides and similarity as in :func:`top_texts`.  Nothing is ranked or cut, so
+    a group of n copies gives n - 1 rows for each query in it.
+    """
+    return _scored_texts(queries, corpus, None, least, block).where("NOT (q_doc = doc AND q_chunk = chunk)")
+
+
+def _scored_texts(queries: DataFrame, corpus: DataFrame, k: int | None, least: float, block: int) -> DataFrame:
+    """Of each batch of ``corpus``, the scores at ``least`` or above that are among a query's ``k`` best, or all of them."""
     schema = T.StructType([T.StructField("q_doc", queries.schema["doc"].dataType), T.StructField("q_chunk", T.IntegerType()), T.StructField("doc", corpus.schema["doc"].dataType), T.StructField("chunk", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     rows = corpus.select("doc", "chunk_id", "chunk_text")
 
@@ -117,34 +132,41 @@ def top_texts(queries: DataFrame, corpus: DataFrame, k: int = 5, least: float =
         for c in counts:
             for w in c:
                 words.setdefault(w, len(words))
-        matrix = np.zeros((len(words), len(counts)), np.float32)
-        for j, c in enumerate(counts):
-            matrix[[words[w] for w in c], j] = list(c.values())
+        # by word: the queries that have it and how often; a dense matrix of all words would be too large to send
+        at = np.array([words[w] for c in counts for w in c], np.int32)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(len(words) + 1))
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])[order]
+        times = np.array([n for c in counts for n in c.values()], np.float32)[order]
         norms = np.array([sum(n * n for n in c.values()) for c in counts], np.float64)
-        docs, places = [r["doc"] for r in block_rows], [r["chunk_id"] for r in block_rows]
+        docs, places = [r["doc"] for r in block_rows], np.array([r["chunk_id"] for r in block_rows], np.int32)
 
         def run(batches):
             import pyarrow as pa
 
             from textweft.operators.similarity import best_of as pick
 
+            names = pa.array(docs)
             for batch in batches:
                 texts = batch.column(2).to_pylist()
                 for a in range(0, len(texts), 512):
                     part = [Counter(t.split(" ")) for t in texts[a : a + 512]]
-                    m = np.zeros((len(part), len(words)), np.float32)
+                    used = {w: i for i, w in enumerate({w for c in part for w in c if w in words})}
+                    m = np.zeros((len(part), len(used)), np.float32)
                     for i, c in enumerate(part):
-                        known = [w for w in c if w in words]
-                        m[i, [words[w] for w in known]] = [c[w] for w in known]
+                        known = [w for w in c if w in used]
+                        m[i, [used[w] for w in known]] = [c[w] for w in known]
+                    matrix = np.zeros((len(used), len(norms)), np.float32)
+                    for w, i in used.items():
+                        x, y = edges[words[w]], edges[words[w] + 1]
+                        matrix[i, owner[x:y]] = times[x:y]
                     own = np.array([sum(n * n for n in c.values()) for c in part], np.float64)
                     s = (m @ matrix).astype(np.float64) / np.sqrt(own[:, None] * norms[None, :])
                     r, q = pick(s, k, least)
                     take = pa.array(r + a)
-                    yield pa.RecordBatch.from_arrays([pa.array([docs[j] for j in q], pa.int64() if not docs or isinstance(docs[0], int) else pa.string()), pa.array([places[j] for j in q], pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(s[r, q])], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(places[q]), batch.column(0).take(take), batch.column(1).take(take), pa.array(s[r, q])], names=schema.names)
 
         return map_arrow(rows, run, schema)
 
     parts = [scan(b) for b in _blocks(queries.where(F.col("chunk_text") != "").select("doc", "chunk_id", "chunk_text"), block)]
-    found = _join(parts, corpus.sparkSession.createDataFrame([], schema))
-    w = Window.partitionBy("q_doc", "q_chunk").orderBy(F.desc("cosine"), "doc", "chunk")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _join(parts, corpus.sparkSession.createDataFrame([], schema))

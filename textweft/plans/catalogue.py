@@ -121,6 +121,12 @@ def near_duplicates_self(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("q_doc").alias("doc_id"), "q_chunk", F.col("doc").alias("other_doc"), "chunk", F.round("cosine", 4).alias("score"))
 
 
+def near_duplicates_all(spark: SparkSession, root: str) -> DataFrame:
+    c = _chunks(spark, root, "documents", "doc_id")
+    found = similarity.near_texts(c.where("doc % 50 = 0"), c, least=0.8)
+    return found.select(F.col("q_doc").alias("doc_id"), "q_chunk", F.col("doc").alias("other_doc"), "chunk", F.round("cosine", 4).alias("score"))
+
+
 def flagged_chunks(spark: SparkSession, root: str) -> DataFrame:
     m, _, _ = _matches(spark, root)
     return report.flagged_chunks(m).select(F.col("q_doc").alias("item_id"), "q_chunk", F.round("best", 4).alias("best"))

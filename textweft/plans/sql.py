@@ -145,6 +145,7 @@ def statements() -> dict[str, str]:
         "l2_normalize": "SELECT vec_id, len(embedding)::BIGINT AS width, round(n, 4) AS norm, CASE WHEN n > 0 THEN round(embedding[1]::DOUBLE / n, 4) END AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM faiss_metadata WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0)",
         "sparse_cosine_topk": matches() + " SELECT q_doc AS item_id, q_chunk, doc AS doc_id, chunk, score, match_percentage, rank FROM m",
         "near_duplicates_self": matches("WHERE doc % 50 = 0", 0.8, "documents", "doc_id") + " SELECT q_doc AS doc_id, q_chunk, doc AS other_doc, chunk, score FROM m",
+        "near_duplicates_all": matches("WHERE doc % 50 = 0", 0.8, "documents", "doc_id") + " SELECT q_doc AS doc_id, q_chunk, doc AS other_doc, chunk, round(greatest(0, least(1, cosine)), 4) AS score FROM ranked WHERE NOT (q_doc = doc AND q_chunk = chunk)",
         "flagged_chunks": matches() + " SELECT q_doc AS item_id, q_chunk, round(max(cosine), 4) AS best FROM m GROUP BY ALL",
         "global_score": matches() + f", {SCORES} SELECT q_doc AS item_id, * EXCLUDE (q_doc) FROM scores",
         "shared_word_6grams": matches() + f" SELECT q_doc AS item_id, q_chunk, m.doc AS doc_id, chunk, len(list_intersect({grams('q.chunk_text')}, {grams('c.chunk_text')}))::BIGINT AS shared FROM m {TEXTS}",
