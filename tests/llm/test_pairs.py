@@ -1,3 +1,4 @@
+import inspect
 import re
 
 import numpy as np
@@ -100,6 +101,16 @@ def test_graph_recall():
         assert np.mean([len((set(f) - {i}) & set(t)) / 5 for i, (f, t) in enumerate(zip(found, true, strict=True))]) > 0.9
 
 
+def test_graph_recall_with_production_values():
+    x = np.random.default_rng(3).normal(size=(6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:500] @ x.T
+    s[np.arange(500), np.arange(500)] = -2
+    true = np.argsort(-s, axis=1)[:, :5]
+    found = hnsw.Hierarchy(x).query_points(6, inspect.signature(knn.nearest).parameters["ef"].default)[0][:500]
+    assert np.mean([len((set(f) - {i}) & set(t)) / 5 for i, (f, t) in enumerate(zip(found, true, strict=True))]) > 0.99
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 

@@ -19,7 +19,7 @@ NONE = np.float32(-3.0)
 class Hierarchy:
     """Cosine similarity over unit vectors ``x`` (float32, one row a point)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 12, build: int = 20, shrink: int = 16, group: int = 128, seed: int = 1):
+    def __init__(self, x: np.ndarray, degree: int = 12, build: int = 24, shrink: int = 16, group: int = 128, seed: int = 1):
         self.degree, self.group = degree, group
         self.order = np.random.default_rng(seed).permutation(len(x))
         self.x = np.ascontiguousarray(x[self.order])

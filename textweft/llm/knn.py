@@ -104,7 +104,7 @@ def search_shard(table, width: int, k: int, ef: int, least: float):
     return pa.table([keys.take(pa.array(q)), keys.take(pa.array(near[q, c])), pa.array(sim[q, c].astype(np.float64))], names=["q", "n", "cosine"])
 
 
-def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", width: int = 64, k: int = 5, least: float = -1.0, probes: int | None = None, ef: int = 11, shard_rows: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", width: int = 64, k: int = 5, least: float = -1.0, probes: int | None = None, ef: int = 28, shard_rows: int | None = None) -> DataFrame:
     """(key, neighbour, cosine, rank): the ``k`` most similar other vectors of every vector.
 
     Vectors that are null, not ``width`` long, all zero or hold a null, NaN or
