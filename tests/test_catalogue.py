@@ -47,3 +47,8 @@ def test_entry(spark):
 
     assert set(e.queries()) >= set(catalogue.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_classifier_is_trained_in_full(spark, data):
+    rows = catalogue.mlp_predict(spark, data).collect()
+    assert sum(r["label"] == r["prediction"] for r in rows) > 0.9 * len(rows)

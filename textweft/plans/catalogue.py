@@ -350,7 +350,7 @@ def train_text(spark: SparkSession, root: str) -> DataFrame:
 
 def mlp_predict(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "embeddings").withColumn("label", F.col("label").cast("string"))
-    model = classify.fit_classifier(rows, "embedding", "label", hidden=(32,), iterations=40)
+    model = classify.fit_classifier(rows, "embedding", "label")
     return classify.predict(model, rows, "embedding").select("vec_id", "label", "prediction")
 
 
