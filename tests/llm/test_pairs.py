@@ -89,26 +89,60 @@ def test_chunks_resynchronise():
 
 
 # -- vectors --------------------------------------------------------------
-def test_graph_recall():
-    x = RNG.normal(size=(6000, 24)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = hnsw.Hierarchy(x)
-    assert len(g.layers) >= 1
-    s = x[:500] @ x.T
-    s[np.arange(500), np.arange(500)] = -2
+def cloud(n, width=64, seed=3):
+    x = np.random.default_rng(seed).normal(size=(n, width)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(x, found, picked):
+    s = x[picked] @ x.T
+    s[np.arange(len(picked)), picked] = -2
     true = np.argsort(-s, axis=1)[:, :5]
-    for found in (g.query(x[:500], 6, 24)[0], g.query_points(6, 24)[0][:500]):
-        assert np.mean([len((set(f) - {i}) & set(t)) / 5 for i, (f, t) in enumerate(zip(found, true, strict=True))]) > 0.9
+    return np.mean([len((set(found[q]) - {q}) & set(t)) / 5 for q, t in zip(picked, true, strict=True)])
 
 
 def test_graph_recall_with_production_values():
-    x = np.random.default_rng(3).normal(size=(6000, 64)).astype(np.float32)
+    x, picked = cloud(6000), np.arange(0, 6000, 12)
+    values = inspect.signature(knn.nearest).parameters
+    g = hnsw.Hierarchy(x, build=values["build"].default)
+    assert len(g.layers) == 3
+    assert recall(x, g.neighbours()[0], picked) > 0.97
+    assert recall(x, g.query(x, 6, values["ef"].default)[0], picked) > 0.97
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40, 256, 257, 3000])
+def test_graph_of_any_size(n):
+    x = cloud(n, 8)
+    g = hnsw.Hierarchy(x)
+    ids, sims = g.neighbours()
+    assert ids.shape == (n, 6) and not (ids == np.arange(n)[:, None]).any() and ((ids >= 0).sum(1) == min(6, max(0, n - 1))).all()
+    assert (np.diff(sims, axis=1) <= 0).all() and all(len(set(r) - {-1}) == (r >= 0).sum() for r in ids)
+    found, _ = g.query(x[:3], 4)
+    assert n == 0 or (found[:, 0] == np.arange(min(3, n))).all()
+
+
+def test_guests_count_for_both_sides():
+    x = cloud(900, 16)
+    g = hnsw.Hierarchy(x[:600])
+    g.query(x[600:], 6, 32, names=np.arange(600, 900))
+    assert recall(x, g.neighbours()[0], np.arange(0, 600, 3)) > 0.95
+
+
+def test_large_cells_are_halved():
+    x = np.concatenate([cloud(2000, 16) * 0.1 + np.eye(16)[0], cloud(100, 16)]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x[:500] @ x.T
-    s[np.arange(500), np.arange(500)] = -2
-    true = np.argsort(-s, axis=1)[:, :5]
-    found = hnsw.Hierarchy(x).query_points(6, inspect.signature(knn.nearest).parameters["ef"].default)[0][:500]
-    assert np.mean([len((set(f) - {i}) & set(t)) / 5 for i, (f, t) in enumerate(zip(found, true, strict=True))]) > 0.99
+    c = knn.centroids(x, 3, 300)
+    assert len(c) > 6 and np.isfinite(c).all()
+    assert len(knn.centroids(np.repeat(x[:1], 50, 0), 2, 10)) >= 1
+
+
+def test_vectors_over_many_shards(spark):
+    x = cloud(3000, 16)
+    got = knn.nearest(vectors(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)]), width=16, shard_rows=250).collect()
+    found = np.full((3000, 5), -1)
+    for r in got:
+        found[r["vec_id"], r["rank"] - 1] = r["neighbour"]
+    assert len(got) == 15000 and recall(x, found, np.arange(0, 3000, 10)) > 0.75
 
 
 def vectors(spark, rows):
