@@ -71,21 +71,68 @@ def test_overlap_finds_pairs_without_a_common_chunk(spark):
     assert {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlap(df).collect()} == want
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_similar_sets_equal_brute_force(spark, block):
-    sets = {i: np.unique(RNG.integers(0, 45, int(RNG.integers(1, 60)))) for i in range(160)}
-    side = lambda which: spark.createDataFrame([(i, [int(w) for w in s], len(s)) for i, s in sets.items() if which(i)], "_c long, words array<bigint>, n_words int")
-    got = overlap.similar_sets(side(lambda i: i % 3), side(lambda i: i % 2 == 0), 0.7, block=block).collect()
-    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a % 3 and b % 2 == 0 and a != b and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.7}
-    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
-
-
-def test_chunks_resynchronise():
-    a = RNG.integers(1, 2**62, 80).astype(np.uint64)
-    b = np.concatenate([a[:20], RNG.integers(1, 2**62, 3).astype(np.uint64), a[20:]])
-    _, da = overlap.chunk_digests(a, np.array([0]), 4, 3, 12)
-    _, db = overlap.chunk_digests(b, np.array([0]), 4, 3, 12)
-    assert len(set(da) & set(db)) >= len(da) // 2
+def edited(kind, base, rng, i):
+    w = list(base)
+    if kind == "one word in six":
+        for j in range(0, len(w), 6):
+            w[j] = f"n{i}x{j}"
+    elif kind == "neighbours swapped":
+        for j in range(0, len(w) - 1, 2):
+            w[j], w[j + 1] = w[j + 1], w[j]
+    elif kind == "words at random":
+        for j in rng.choice(len(w), int(len(w) * 0.17), replace=False):
+            w[j] = f"n{i}x{j}"
+    elif kind == "sentences reordered":
+        parts = [w[a : a + 12] for a in range(0, len(w), 12)]
+        w = [x for p in rng.permutation(len(parts)) for x in parts[p]]
+    elif kind == "a quarter cut off":
+        w = w[: int(len(w) * 0.75)]
+    return w
+
+
+@pytest.mark.parametrize("kind", ["one word in six", "neighbours swapped", "words at random", "sentences reordered", "a quarter cut off"])
+def test_overlap_finds_every_kind_of_edit(spark, kind):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(100):
+        base = [f"w{int(x)}" for x in rng.permutation(4000)[: int(rng.integers(40, 140))]]
+        rows += [(2 * i, " ".join(base), "train"), (2 * i + 1, " ".join(edited(kind, base, rng, i)), "test")]
+    sets = {k: set(t.split()) for k, t, _ in rows}
+    want = {(k, k + 1) for k in range(0, 200, 2) if len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) >= 0.7}
+    df = spark.createDataFrame([(k, None, t, s) for k, t, s in rows], "record_id long, arxiv_id string, abstract string, split string")
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlap(df).collect()}
+    assert len(want) > 90 and got <= want and len(got) >= (0.97 if "swap" not in kind and "reordered" not in kind else 1.0) * len(want)
+
+
+def test_chunks_meet_at_the_threshold():
+    rng = np.random.default_rng(2)
+    for n in (36, 60, 80, 150):
+        met = 0
+        for _ in range(300):
+            both = int(np.ceil(2 * n * 0.7 / 1.7 - 1e-9))
+            h = rng.integers(1, 2**62, 2 * n - both).astype(np.uint64)
+            a, b = np.sort(h[:n]), np.sort(np.concatenate([h[:both], h[n:]]))
+            met += any(set(overlap.chunk_digests(a, np.array([0]), 2, 3, 8, k)[1]) & set(overlap.chunk_digests(b, np.array([0]), 2, 3, 8, k)[1]) for k in range(overlap.cutters_for(n)))
+        assert met >= 0.99 * 300
+
+
+def test_short_records_miss_none(spark):
+    bases = [RNG.permutation(60)[: int(RNG.integers(1, 33))] for _ in range(40)]
+    sets = {i: np.unique(np.append(RNG.permutation(bases[i // 4])[int(RNG.integers(0, 3)) :], RNG.integers(0, 60, int(RNG.integers(0, 3))))) for i in range(160)}
+    sets = {i: s for i, s in sets.items() if len(s)}
+    rows = [(i, None, " ".join(f"v{w}" for w in RNG.permutation(s)), "train" if i % 3 else "val") for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "record_id long, arxiv_id string, abstract string, split string")
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a % 3 and b % 3 == 0 and min(len(x), len(y)) <= 24 and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.7}
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlap(df).collect()}
+    assert len(want) > 50 and want <= got
+
+
+def test_hot_digests_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 5)
+    base = [f"t{j}" for j in range(40)]
+    rows = [(i, None, " ".join([*base, f"a{i}", f"b{i}"]), "train" if i % 3 else "val") for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, arxiv_id string, abstract string, split string")
+    assert overlap.cross_split_overlap(df).count() == 40 * 20
 
 
 # -- vectors --------------------------------------------------------------
