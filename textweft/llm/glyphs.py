@@ -14,13 +14,19 @@ LOOKALIKES = {
     # Cyrillic, small
     "а": "a", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "с": "c", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w",
     # Cyrillic, capital
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y",
     # Greek
     "ο": "o", "ν": "v", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J",
     # Armenian and others
     "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "ɡ": "g", "ɑ": "a", "ı": "i",
 }
 
+#: Letters beside a Latin letter they may also be read as, or look like in some faces only.
+DOUBTFUL = {
+    "Ι": "l", "І": "l", "Ӏ": "l", "ӏ": "I",
+    "α": "a", "γ": "y", "η": "n", "ι": "i", "κ": "k", "к": "k", "ρ": "p", "τ": "t", "υ": "u", "ω": "w",
+}
+
 #: Format characters that do leave a mark on the page.
 SEEN_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Characters without a mark that are no format characters.
