@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contact import normal_email
-from ..session import stored
+from ..session import numbered
 
 USER_VIEW = ["id", "first_name", "last_name", "email", "created_at"]
 UPLOAD_VIEW = ["id", "user_id", "filename", "word_count", "status", "uploaded_at", "added_to_corpus"]
@@ -43,19 +43,10 @@ def acceptable_reports(new: DataFrame, uploads: DataFrame, reports: DataFrame) -
 
 
 def append_with_ids(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows and new rows, these numbered on from the largest key in that order.
-
-    The numbers come from the sizes of sorted partitions, not from one task.
-    """
+    """Rows and new rows, these numbered on from the largest key in that order."""
     first = rows.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    columns = [c for c in rows.columns if c != key]
-    # the low 33 bits of the generated id are the row's place in its partition
-    placed = new.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stored(placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_o")
-    numbered = placed.join(offsets, "_p").withColumn(key, F.col("_o") + F.col("_i") + F.lit(first + 1))
-    return rows.unionByName(numbered.select(*rows.columns))
+    fresh = numbered(new.select(*[c for c in rows.columns if c != key]), key, order, first + 1)
+    return rows.unionByName(fresh.select(*rows.columns))
 
 
 def link_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:

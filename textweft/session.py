@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is named.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach.  The fallback exists for local tests, where driver and executors
-    are one process.
+    reach.  Where it is unset a private folder is used if driver and executors
+    are one process; anywhere else that is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_KEY)
@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor of {sc.master} can reach")
         named = tempfile.mkdtemp(prefix="textweft-checkpoint-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -79,9 +81,8 @@ def stored(df: DataFrame) -> DataFrame:
     planner the size.  The table is removed when the Python driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = temporary(spark, "stored")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +95,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the Python driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], first: int = 0) -> DataFrame:
+    """Add ``key``: ``first`` and on, in that order.
+
+    The numbers come from the sizes of sorted partitions, not from one task;
+    among equal rows the order is any.
+    """
+    # the low 33 bits of the generated id are the row's place in its partition
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_o")
+    return placed.join(F.broadcast(offsets), "_p").withColumn(key, F.col("_o") + F.col("_i") + F.lit(first)).drop("_p", "_o", "_i")
+
+
 #: Rows of a key table that may be broadcast; more are joined by a shuffle.
 MOST_KEYS = 1_000_000
 
