@@ -26,3 +26,23 @@ def valid_email(c: Column) -> Column:
 def long_enough(c: Column, least: int = 8) -> Column:
     """At least that many characters."""
     return F.coalesce(F.length(c) >= least, F.lit(False))
+
+
+def expiry(at: Column, minutes: int) -> Column:
+    """So many minutes after ``at``."""
+    return at + F.make_interval(mins=F.lit(minutes))
+
+
+def first_given(*choices: Column) -> Column:
+    """The first that is not null; empty if all are."""
+    return F.coalesce(*choices, F.lit(""))
+
+
+def link(template: str, ident: Column) -> Column:
+    """``template`` with its %s replaced by the id as it is."""
+    return F.format_string(template, ident)
+
+
+def quoted(c: Column) -> Column:
+    """Safe inside an address: blanks as plus signs, all but letters, digits and ``_.-~`` by their codes."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,15 @@ def fit_classifier(rows: DataFrame, vector: str, label: str, hidden: tuple[int,
 def predict(model, rows: DataFrame, vector: str) -> DataFrame:
     """Rows with their predicted label."""
     return model.transform(rows.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))).drop("_x", "_y", "_p", "rawPrediction", "probability")
+
+
+def save(model, path: str, **about: str) -> None:
+    """The pipeline under ``path``/model, what there is to know about it under ``path``/about."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(k, str(v)) for k, v in sorted(about.items())] or [("", "")], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(path: str):
+    """A saved pipeline."""
+    return PipelineModel.load(f"{path}/model")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contact
 from ..functions import text as tx
 from ..functions import vector as vec
-from ..operators import chunking, classify, labels, phrases, registry, report, similarity
-from ..session import checkpoint, shared_folder, spread, table
-from ..sources import files
-from . import literals, sql
+from ..operators import chunking, classify, index, labels, phrases, registry, report, similarity
+from ..operators.embedding import hashed_terms
+from ..session import checkpoint, map_arrow, spread, stored, table, temporary
+from ..sources import files, paged
+from . import literals, pipelines, sql
 
 THRESHOLD = 0.5
 SEED = 42
@@ -188,7 +187,9 @@ def analyze_report(spark: SparkSession, root: str) -> DataFrame:
 
 # -- dataset -------------------------------------------------------------
 def hierarchy_flatten(spark: SparkSession, root: str) -> DataFrame:
-    return labels.flatten_hierarchy(literals.hierarchy(spark)).unionByName(labels.flatten_hierarchy(_dim_tree(spark, root)))
+    path = temporary(spark, "hierarchy")
+    literals.frame(spark, [(literals.HIERARCHY,)], "value string").coalesce(1).write.text(path)
+    return labels.flatten_hierarchy(files.hierarchy(spark, path)).unionByName(labels.flatten_hierarchy(_dim_tree(spark, root)))
 
 
 def _dim_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -238,7 +239,7 @@ def newest_papers_by_category(spark: SparkSession, root: str) -> DataFrame:
 
 def jsonl_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
-    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = temporary(spark, "lines")
     files.write_json_lines(rows, path)
     return files.json_lines(spark, path, "doc_id bigint, text string, lang string, source string").select("doc_id", F.md5(F.coalesce("text", F.lit("<null>"))).alias("digest"), "lang", "source")
 
@@ -253,8 +254,36 @@ def atom_parse(spark: SparkSession, root: str) -> DataFrame:
 
 
 def largest_member(spark: SparkSession, root: str) -> DataFrame:
-    rows = literals.frame(spark, literals.MEMBERS, "archive string, member string, size bigint, place int").where(F.col("member").endswith(".tex"))
-    return rows.groupBy("archive").agg(F.max_by("member", F.struct("size", -F.col("place"))).alias("member"))
+    rows = literals.frame(spark, literals.archives(), "path string, content binary")
+    return files.archive_sources(rows).where("latex IS NOT NULL").select(F.col("path").alias("archive"), F.regexp_extract("latex", "^[^~]*", 0).alias("member"))
+
+
+def chunk_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Chunk rows through a file with mandatory columns."""
+    path = temporary(spark, "chunks")
+    rows = table(spark, root, "chunked_database").where("text IS NOT NULL AND arxiv_id IS NOT NULL AND title IS NOT NULL AND chunk_id IS NOT NULL")
+    files.write_json_lines(rows.select("arxiv_id", "title", "chunk_id", "text", "source_type"), path)
+    return files.chunk_lines(spark, path).groupBy("source_type").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def chunk_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Texts of a chunk file and of one that is not there."""
+    path = temporary(spark, "chunks")
+    files.write_json_lines(table(spark, root, "chunked_database").where("text IS NOT NULL").select("arxiv_id", "chunk_id", "text"), path)
+    both = files.chunk_texts(spark, path).unionByName(files.chunk_texts(spark, path + "-absent"))
+    return both.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+def paged_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of an API, at most ten records a category; categories that are not wanted are not asked for."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(paged.paged_source("textweft_paged", "category string, i int", literals.page))
+    rows = spark.read.format("textweft_paged").options(categories="d, b, c, a", per_category=10, batch_size=3).load()
+    return rows.where("category IN ('a', 'c', 'd')")
+
+
+def source_urls(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "papers").select("record_id", contact.link("https://papers.example/source/%s", F.trim("arxiv_id")).alias("url"), contact.quoted(F.col("title")).alias("quoted"))
 
 
 def chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -305,10 +334,11 @@ def account_merge(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, root: str) -> DataFrame:
+    """Outside profiles of all users: a third by their google_id, a third by their address, a third new ones."""
     users = table(spark, root, "users")
-    known = users.where("id % 10 = 1 AND google_id IS NOT NULL").select("google_id", "email", "first_name", "last_name")
-    by_mail = users.where("id % 10 = 2").select(F.concat(F.lit("n-"), F.col("id")).alias("google_id"), F.upper("email").alias("email"), "first_name", "last_name")
-    new = users.where("id % 10 = 3").select(F.concat(F.lit("m-"), F.col("id")).alias("google_id"), F.concat(F.lit("new."), F.trim("email")).alias("email"), "first_name", "last_name")
+    known = users.where("id % 3 = 1 AND google_id IS NOT NULL").select("google_id", "email", "first_name", "last_name")
+    by_mail = users.where("id % 3 = 2").select(F.concat(F.lit("n-"), F.col("id")).alias("google_id"), F.upper("email").alias("email"), "first_name", "last_name")
+    new = users.where("id % 3 = 0").select(F.concat(F.lit("m-"), F.col("id")).alias("google_id"), F.concat(F.lit("new."), F.trim("email")).alias("email"), "first_name", "last_name")
     return known.unionByName(by_mail).unionByName(new).withColumnsRenamed({"first_name": "given_name", "last_name": "family_name"})
 
 
@@ -316,6 +346,40 @@ def accounts_after_merge(spark: SparkSession, root: str) -> DataFrame:
     return registry.merge_accounts(table(spark, root, "users"), _profiles(spark, root)).select("id", "email", "google_id", "is_deleted")
 
 
+def user_insert(spark: SparkSession, root: str) -> DataFrame:
+    """All users sign up again, every other one with a new address."""
+    users = table(spark, root, "users")
+    new = users.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("reg."), F.trim("email"))).otherwise(F.col("email")).alias("email"), "first_name", "last_name")
+    return registry.insert_users(users, new).select("id", "email", "is_deleted")
+
+
+def upload_insert(spark: SparkSession, root: str) -> DataFrame:
+    uploads = table(spark, root, "uploads")
+    new = uploads.select("user_id", F.concat(F.lit("again-"), F.col("filename")).alias("filename"))
+    return registry.insert_uploads(uploads, new).select("id", "user_id", "filename", "file_path", "status", "added_to_corpus")
+
+
+def upload_files(spark: SparkSession, root: str) -> DataFrame:
+    """What stands in the upload folder: the last file of each name."""
+    drops = table(spark, root, "uploads").where("filename IS NOT NULL").select("filename", "id", F.md5(F.concat_ws("|", "id", "file_path")).alias("content"))
+    return registry.latest_files(drops, "id").select("filename", F.col("id").alias("upload_id"), "content")
+
+
+def report_insert(spark: SparkSession, root: str) -> DataFrame:
+    uploads, reports = table(spark, root, "uploads"), table(spark, root, "plagiarism_reports")
+    new = uploads.select((F.col("id") + 5).alias("document_id"), F.col("id").alias("id"), F.lit(0.5).alias("global_score"), F.lit("{}").alias("report_data"))
+    return registry.insert_reports(reports, new, uploads).select("id", "document_id", "global_score")
+
+
+def report_expiry(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "plagiarism_reports").select("id", contact.expiry(F.col("created_at"), 30).alias("expires_at"))
+
+
+def input_valid(spark: SparkSession, root: str) -> DataFrame:
+    u = table(spark, root, "users")
+    return u.select("id", (contact.first_given(F.trim("first_name")) != "").alias("named"), contact.long_enough(F.col("hashed_password")).alias("password"), contact.first_given(F.col("first_name"), F.col("last_name")).alias("shown"))
+
+
 def initials(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "users").select("id", contact.initials(F.col("first_name"), F.col("last_name"), F.col("email")).alias("initials"))
 
@@ -349,28 +413,132 @@ def train_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def mlp_predict(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "embeddings").withColumn("label", F.col("label").cast("string"))
-    model = classify.fit_classifier(rows, "embedding", "label")
-    return classify.predict(model, rows, "embedding").select("vec_id", "label", "prediction")
+    """Labels of held-out vectors, by a model trained on the others, saved and loaded again."""
+    rows = labels.stratified_split(table(spark, root, "embeddings").withColumn("label", F.col("label").cast("string")), "label", "vec_id", seed=SEED)
+    path = temporary(spark, "model")
+    classify.save(classify.fit_classifier(rows.where("split = 'train'"), "embedding", "label"), path, embedder="stored vectors", seed=SEED)
+    return classify.predict(classify.load(path), rows.where("split <> 'train'"), "embedding").select("vec_id", "label", "prediction")
+
+
+# -- pipelines -----------------------------------------------------------
+def corpus_build(spark: SparkSession, root: str) -> DataFrame:
+    taxonomy = table(spark, root, "category_dim").select("sub_code", "top_code", "top_name", "sub_name")
+    rows = table(spark, root, "papers").select("record_id", "arxiv_id", "primary_category", "all_categories", "feed")
+    built = pipelines.corpus(rows, taxonomy, [F.col("primary_category"), F.col("record_id")], most=100, least=30, seed=SEED)
+    path = temporary(spark, "corpus")
+    pipelines.write_corpus(built, path)
+    whole = None
+    for name in ("train", "val", "test"):
+        part = files.json_lines(spark, f"{path}/{name}", "arxiv_id string, record_id bigint, top_name string, sub_name string").withColumn("split", F.lit(name))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def _papers_with_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as papers: a third with a tar archive, a third with a gzipped source, a third with a PDF only."""
+
+    def pack(batches):
+        import gzip
+        import io
+        import tarfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            archives, pdfs = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                body = None if text is None else text.encode()
+                if body is not None and key % 3 == 0:
+                    buffer = io.BytesIO()
+                    with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
+                        for name, part in (("part.tex", body[: len(body) // 3]), ("main.tex", body), ("plot.eps", body * 2)):
+                            info = tarfile.TarInfo(name)
+                            info.size = len(part)
+                            tar.addfile(info, io.BytesIO(part))
+                    archives.append(buffer.getvalue())
+                else:
+                    archives.append(gzip.compress(body, 1) if body is not None and key % 3 == 1 else None)
+                pdfs.append(body if key % 3 == 2 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(archives, pa.binary()), pa.array(pdfs, pa.binary())], names=["doc_id", "archive", "pdf"])
+
+    packed = map_arrow(spread(table(spark, root, "documents").select("doc_id", "text")), pack, "doc_id bigint, archive binary, pdf binary")
+    return packed.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("title").alias("title"), "archive", "pdf")
+
+
+def paper_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Source archives and PDFs to chunk rows, written and read again."""
+    path = temporary(spark, "chunks")
+    pipelines.write_chunks(pipelines.paper_chunks(_papers_with_sources(spark, root), lambda b: b.decode("utf-8", "replace")), path)
+    return spark.read.parquet(path).select("arxiv_id", "chunk_id", "text", "source_type")
+
+
+def paper_chunk_counts(spark: SparkSession, root: str) -> DataFrame:
+    return pipelines.chunk_counts(paper_chunks(spark, root))
+
+
+def _corpus_chunks(spark: SparkSession, root: str) -> DataFrame:
+    about = table(spark, root, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("collection", F.lit("N/A")).alias("title"), F.coalesce("source", F.lit("unknown")).alias("source_type"))
+    c = _chunks(spark, root, "documents", "doc_id").join(about, "doc")
+    return stored(c.select(F.col("doc").cast("string").alias("arxiv_id"), "title", "chunk_id", F.col("chunk_text").alias("text"), "source_type"))
+
+
+def _index(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    embedder, path = hashed_terms(), temporary(spark, "index")
+    index.write_index(index.build_index(chunks, embedder, unit=False), embedder, path)
+    return index.read_index(spark, path, embedder)
+
+
+def index_build(spark: SparkSession, root: str) -> DataFrame:
+    """Chunk rows to an index, written and read again."""
+    v = _index(spark, _corpus_chunks(spark, root))
+    total = lambda f: F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda a, x: a + x).cast("long")
+    return v.select("vec_id", "arxiv_id", "chunk_id", "source_type", total(lambda x: x).alias("terms"), total(lambda x: x * x).alias("squares"), F.size("embedding").cast("long").alias("width"))
+
+
+def _file_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Every held-out item as a file, a third of them LaTeX, against the index of all documents."""
+    suffix = F.when(F.col("item_id") % 3 == 0, ".tex").otherwise(".txt")
+    asked = table(spark, root, "eval_items").select(F.concat(F.lit("/in/item-"), F.col("item_id"), suffix).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    chunks = _corpus_chunks(spark, root)
+    return pipelines.analyze(asked, _index(spark, chunks), chunks, hashed_terms())
+
+
+def analyze_file(spark: SparkSession, root: str) -> DataFrame:
+    """Heads of the whole reports on files."""
+    head = "file_name string, error string, document_stats struct<total_words: bigint, total_chunks_analyzed: bigint>, global_plagiarism_score_percent double, total_suspicious_sources bigint, total_flagged_chunks bigint"
+    r = _file_reports(spark, root).select("path", F.from_json("report", head).alias("r"))
+    return r.select("path", "r.file_name", F.col("r.error").isNotNull().alias("failed"), F.col("r.document_stats.total_words").alias("total_words"), F.col("r.document_stats.total_chunks_analyzed").alias("total_chunks"), F.col("r.global_plagiarism_score_percent").alias("global_score"), "r.total_suspicious_sources", "r.total_flagged_chunks")
+
+
+def analyze_file_report(spark: SparkSession, root: str) -> DataFrame:
+    """The whole reports, written and read again."""
+    path = temporary(spark, "reports")
+    files.write_reports(_file_reports(spark, root), path)
+    return spark.read.text(path).withColumnRenamed("value", "report")
 
 
 def stream_filedrop(spark: SparkSession, root: str) -> DataFrame:
     from ..streaming import filedrop
 
     source = table(spark, root, "documents").select("doc_id", "text")
-    home = f"{shared_folder(spark)}/filedrop-{uuid.uuid4().hex}"
+    home = temporary(spark, "filedrop")
     drop, target = f"{home}/in", f"{home}/out"
     source.write.mode("overwrite").parquet(drop)
     filedrop.write_once(filedrop.watch(spark, drop, source.schema), "doc_id", target, f"{home}/state", lambda d: d.select("doc_id", F.size(tx.tokens(tx.normalise(F.col("text")))).alias("n_words")))
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).drop("batch")
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    """Every held-out item against the whole corpus: what it matches and its score."""
-    return analyze_report(spark, root)
+    """Heads of the whole reports on every held-out item, with sources preferred by phrases found character by character.
+
+    ``analyze_report`` is the same but for that: it takes six words in a row for a phrase.
+    """
+    head = "error string, document_stats struct<total_words: bigint, total_chunks_analyzed: bigint>, global_plagiarism_score_percent double, total_suspicious_sources bigint, total_reported_sources bigint, total_flagged_chunks bigint"
+    r = _analysis(spark, root).select(F.col("q_doc").alias("item_id"), F.from_json("report", head).alias("r"))
+    return r.select("item_id", "r.error", F.col("r.document_stats.total_words").alias("total_words"), F.col("r.document_stats.total_chunks_analyzed").alias("total_chunks"), F.col("r.global_plagiarism_score_percent").alias("global_score"), "r.total_suspicious_sources", "r.total_reported_sources", "r.total_flagged_chunks")
 
 
-HELPERS = {"flagship", "queries", "oracle_sql"}
+HELPERS = {"queries", "oracle_sql"}
 
 
 def queries() -> dict:

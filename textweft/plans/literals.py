@@ -17,7 +17,7 @@ LAYOUT = [(-1, "a " * 20 + "References b c"), (-2, "References " + "a " * 30), (
 PRIORITY = [(1, "a b c d e", "p q", "t"), (2, "a b", "p q", "t"), (3, None, None, "t u"), (4, "a b c d", None, None), (5, None, "", "x"), (6, None, None, None)]
 MEMBERS = [("a", "main.tex", 10, 1), ("a", "big.TEX", 99, 2), ("a", "second.tex", 30, 3), ("b", "x.tex", 5, 1), ("b", "y.tex", 5, 2), ("c", "fig.png", 7, 1)]
 ENTRIES = [
-    (1, "<entry><id>http://host/abs/2101.00001v2</id><title> A\n  title </title><summary>Some  text</summary><published>2021-01-01T00:00:00Z</published><updated>2021-01-02T00:00:00Z</updated><primary_category term='cs.LG'/><category term='cs.LG'/><category term=' stat.ML '/><category term='cs.LG'/><category term=''/></entry>".replace("term=", "term=")),
+    (1, "<entry><id>http://host/abs/2101.00001v2</id><title> A\n  title </title><summary>Some  text</summary><published>2021-01-01T00:00:00Z</published><updated>2021-01-02T00:00:00Z</updated><primary_category term='cs.LG'/><category term='cs.LG'/><category term=' stat.ML '/><category term='cs.LG'/><category term=''/></entry>"),
     (2, "<entry><id>http://host/abs/hep-th/9901001v1</id><title>B</title><summary/><category term='hep-th'/></entry>"),
 ]
 HIERARCHY = '{"zz":{"name":"Zed Studies","subcategories":{"zz.A":"Alpha","yy.B":"Beta one"}},"yy":{"name":"Why Studies","subcategories":{"yy.B":"Beta two","yy":"Why itself"}},"solo":{"name":"Solo"},"bare":{}}'
@@ -27,13 +27,29 @@ def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def hierarchy(spark: SparkSession) -> DataFrame:
-    from pyspark.sql import functions as F
+def archives() -> list[tuple[str, bytes]]:
+    """(archive, tar bytes) of MEMBERS; every member holds its own name, filled up to its size."""
+    import io
+    import tarfile
 
-    from .. import schemas
+    out = []
+    for name in sorted({m[0] for m in MEMBERS}):
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+            for _, member, size, _ in sorted((m for m in MEMBERS if m[0] == name), key=lambda m: m[3]):
+                info = tarfile.TarInfo(member)
+                info.size = size
+                tar.addfile(info, io.BytesIO(member.ljust(size, "~").encode()))
+        out.append((name, buffer.getvalue()))
+    return out
 
-    whole = frame(spark, [(HIERARCHY,)], "value string").select(F.from_json("value", schemas.HIERARCHY).alias("m"))
-    return whole.select(F.posexplode("m").alias("ord", "top_code", "_v")).select("top_code", F.col("_v.name").alias("top_name"), F.coalesce("_v.subcategories", F.create_map().cast("map<string,string>")).alias("subs"), F.col("ord").cast("long").alias("ord"))
+
+#: Records a category of the paged source has.
+PAGED = {"a": 7, "b": 2, "c": 0, "d": 12}
+
+
+def page(category: str, start: int, size: int) -> list[dict]:
+    return [{"category": category, "i": k} for k in range(start, min(start + size, PAGED.get(category, 0)))]
 
 
 def values(rows: list, names: str) -> str:

@@ -108,12 +108,40 @@ def knn(table: str, queries: str, extra: str = "") -> str:
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS rank FROM s {extra})"""
 
 
+def hashed(name: str) -> str:
+    """Counts of the chunks ``name`` by hashed column, and their squared norms."""
+    return f"""{name}_h AS MATERIALIZED (SELECT doc, chunk_id, b, count(*) AS f FROM (SELECT doc, chunk_id, ('0x' || substr(md5(unnest(string_split(chunk_text, ' '))), 1, 4))::INT % 256 AS b FROM {name}) GROUP BY ALL),
+  {name}_l AS MATERIALIZED (SELECT doc, chunk_id, sum(f * f)::BIGINT AS n, sum(f)::BIGINT AS terms FROM {name}_h GROUP BY ALL)"""
+
+
+def file_matches() -> str:
+    """Like :func:`matches`, for items as files against the index of hashed counts."""
+    strip = strip_structure("text")
+    return f"""WITH raw AS (SELECT '/in/item-' || item_id || CASE WHEN item_id % 3 = 0 THEN '.tex' ELSE '.txt' END AS path, CASE WHEN item_id % 3 = 0 AND trim({strip}) <> '' THEN {strip} ELSE {collapse('text')} END AS text FROM eval_items),
+  {chunked('raw', 'path', 'q')},
+  docs AS (SELECT doc_id::VARCHAR AS doc, text FROM documents),
+  {chunked('docs', 'doc', 'c')},
+  {hashed('q')}, {hashed('c')},
+  dots AS (SELECT a.doc AS q_doc, a.chunk_id AS q_chunk, b.doc, b.chunk_id AS chunk, sum(a.f * b.f)::BIGINT AS dot FROM q_h a JOIN c_h b USING (b) GROUP BY ALL),
+  sims AS (SELECT d.*, round(dot::DOUBLE / sqrt(x.n::DOUBLE * y.n::DOUBLE), 12) AS cosine FROM dots d JOIN q_l x ON x.doc = q_doc AND x.chunk_id = q_chunk JOIN c_l y ON y.doc = d.doc AND y.chunk_id = d.chunk),
+  m AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_doc, q_chunk ORDER BY cosine DESC, doc, chunk) AS rank FROM sims) WHERE rank <= 5 AND cosine >= 0.85)"""
+
+
+def paper_chunks() -> str:
+    strip, pdf = strip_structure("text"), collapse(sub("text", r"[\x00-\x1F\x7F-\x{9F}]", " "))
+    return f"""WITH read AS (SELECT doc_id, {strip} AS latex, {pdf} AS page FROM documents WHERE text IS NOT NULL),
+  best AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN {cut_references('page')} WHEN {collapse('latex')} <> '' AND len(string_split({collapse('latex')}, ' ')) >= 20 THEN latex END AS text FROM read),
+  {chunked('best', 'doc_id', 'c')},
+  rows AS (SELECT doc::VARCHAR AS arxiv_id, chunk_id, chunk_text AS text, CASE WHEN doc % 3 = 2 THEN 'pdf' ELSE 'latex' END AS source_type FROM c)"""
+
+
 KEY = "md5(record_id || '|42')"
+PAPER_KEY = "md5(arxiv_id || '|42')"
 LABELLED = "labelled AS (SELECT record_id, trim(top_category_name) AS label FROM papers WHERE trim(top_category_name) <> '')"
 SPLIT = f"""WITH {LABELLED}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr({KEY}, 1, 2))::INT % 256, {KEY}, record_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM labelled),
   split AS (SELECT record_id, label, CASE WHEN i <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM placed)"""
-PROFILES = """profiles AS (SELECT google_id, email FROM users WHERE id % 10 = 1 AND google_id IS NOT NULL
-    UNION ALL SELECT 'n-' || id, upper(email) FROM users WHERE id % 10 = 2 UNION ALL SELECT 'm-' || id, 'new.' || trim(email) FROM users WHERE id % 10 = 3),
+PROFILES = """profiles AS (SELECT google_id, email FROM users WHERE id % 3 = 1 AND google_id IS NOT NULL
+    UNION ALL SELECT 'n-' || id, upper(email) FROM users WHERE id % 3 = 2 UNION ALL SELECT 'm-' || id, 'new.' || trim(email) FROM users WHERE id % 3 = 0),
   by_id AS (SELECT google_id, min(id) AS a FROM users WHERE google_id IS NOT NULL GROUP BY 1),
   by_mail AS (SELECT lower(trim(email)) AS mail, min(id) AS b FROM users WHERE NOT is_deleted AND email IS NOT NULL GROUP BY 1),
   plan AS (SELECT p.google_id, p.email, coalesce(a, b) AS user_id, CASE WHEN a IS NOT NULL THEN 'known' WHEN b IS NOT NULL THEN 'linked' ELSE 'created' END AS action
@@ -166,6 +194,29 @@ def statements() -> dict[str, str]:
         "json_fields": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
         "atom_parse": "SELECT * FROM (VALUES ('2101.00001v2', 'A title', 'Some text', 'cs.LG', 'cs.LG,stat.ML'), ('9901001v1', 'B', '', '', 'hep-th')) AS v(arxiv_id, title, abstract, primary_category, categories)",
         "largest_member": f"SELECT archive, member FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY size DESC, place) AS r FROM {literals.values(literals.MEMBERS, 'archive, member, size, place')} WHERE suffix(member, '.tex')) WHERE r = 1",
+        "chunk_lines": "SELECT coalesce(source_type, 'unknown') AS source_type, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunked_database WHERE text IS NOT NULL AND arxiv_id IS NOT NULL AND title IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1",
+        "chunk_texts": "SELECT md5(text) AS digest, count(*) AS n FROM chunked_database WHERE text IS NOT NULL GROUP BY 1",
+        "paged_scan": "SELECT 'a' AS category, unnest(range(7))::INT AS i UNION ALL SELECT 'd', unnest(range(10))::INT",
+        "source_urls": "SELECT record_id, 'https://papers.example/source/' || trim(arxiv_id) AS url, replace(url_encode(title), '%20', '+') AS quoted FROM papers",
+        "user_insert": """WITH new AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN 'reg.' || trim(email) ELSE email END AS email FROM users), fresh AS (SELECT email FROM new WHERE email IS NOT NULL AND email NOT IN (SELECT email FROM users WHERE email IS NOT NULL))
+            SELECT id, email, is_deleted FROM users UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY email), email, false FROM fresh""",
+        "upload_insert": "SELECT id, user_id, filename, file_path, status, added_to_corpus FROM uploads UNION ALL SELECT (SELECT max(id) FROM uploads) + row_number() OVER (ORDER BY user_id NULLS FIRST, filename NULLS FIRST), user_id, 'again-' || filename, 'uploads/again-' || filename, 'PENDING', false FROM uploads",
+        "upload_files": "SELECT filename, max(id) AS upload_id, arg_max(md5(concat_ws('|', id, file_path)), id) AS content FROM uploads WHERE filename IS NOT NULL GROUP BY 1",
+        "report_insert": """WITH fresh AS (SELECT id + 5 AS document_id FROM uploads WHERE id + 5 IN (SELECT id FROM uploads) AND id + 5 NOT IN (SELECT document_id FROM plagiarism_reports WHERE document_id IS NOT NULL))
+            SELECT id, document_id, global_score FROM plagiarism_reports UNION ALL SELECT (SELECT max(id) FROM plagiarism_reports) + row_number() OVER (ORDER BY document_id), document_id, 0.5 FROM fresh""",
+        "report_expiry": "SELECT id, created_at + INTERVAL 30 MINUTE AS expires_at FROM plagiarism_reports",
+        "input_valid": "SELECT id, coalesce(trim(first_name), '') <> '' AS named, coalesce(length(hashed_password) >= 8, false) AS password, coalesce(first_name, last_name, '') AS shown FROM users",
+        "corpus_build": f"""WITH named AS (SELECT trim(arxiv_id) AS arxiv_id, record_id, primary_category, all_categories FROM papers WHERE trim(arxiv_id) <> ''),
+            once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY primary_category NULLS FIRST, record_id) AS r FROM named) WHERE r = 1),
+            o AS (SELECT arxiv_id, unnest(list_concat([primary_category], coalesce(all_categories, []))) AS sub_code, generate_subscripts(list_concat([primary_category], coalesce(all_categories, [])), 1) AS i FROM once),
+            hit AS (SELECT * FROM (SELECT arxiv_id, top_name, sub_name, row_number() OVER (PARTITION BY arxiv_id ORDER BY i) AS r FROM o JOIN category_dim USING (sub_code)) WHERE r = 1),
+            kept AS (SELECT * FROM (SELECT arxiv_id, top_name, sub_name, count(*) OVER (PARTITION BY top_name) AS n, row_number() OVER (PARTITION BY top_name ORDER BY {PAPER_KEY}, arxiv_id) AS i FROM hit) WHERE n >= 30 AND i <= 100),
+            sized AS (SELECT *, least(n, 100) AS m FROM kept)
+            SELECT arxiv_id, record_id, top_name, sub_name, CASE WHEN i <= floor(m * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(m * 0.8::DOUBLE) + floor(m * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM sized JOIN once USING (arxiv_id)""",
+        "paper_chunks": paper_chunks() + " SELECT * FROM rows",
+        "paper_chunk_counts": paper_chunks() + " SELECT source_type, count(*) AS chunks, count(DISTINCT arxiv_id) AS papers FROM rows GROUP BY 1",
+        "index_build": f"WITH docs AS (SELECT doc_id::VARCHAR AS doc, coalesce(source, 'unknown') AS source_type, text FROM documents), {chunked('docs', 'doc', 'c')}, {hashed('c')} SELECT row_number() OVER (ORDER BY c_l.doc, chunk_id) - 1 AS vec_id, c_l.doc AS arxiv_id, chunk_id, source_type, terms, n AS squares, 256 AS width FROM c_l JOIN docs USING (doc)",
+        "analyze_file": file_matches() + f", {SCORES} SELECT path, CASE WHEN total_words IS NOT NULL THEN regexp_extract(path, '[^/]*$') END AS file_name, total_words IS NULL AS failed, total_words, total_chunks, global_score, total_suspicious_sources, total_flagged_chunks FROM raw LEFT JOIN scores ON q_doc = path",
         "chunk_vectors": "WITH t AS (SELECT arxiv_id, chunk_id, arg_min(coalesce(text, chr(0)), row_id) AS x FROM chunked_database WHERE arxiv_id IS NOT NULL GROUP BY ALL) SELECT vec_id, arxiv_id, chunk_id, length(CASE WHEN x IS NULL OR x = chr(0) THEN 'Text not available.' ELSE x END) AS n_chars FROM faiss_metadata LEFT JOIN t USING (arxiv_id, chunk_id)",
         "user_lookup": "SELECT id, first_name, last_name, email, created_at FROM users WHERE id = 7 AND NOT is_deleted LIMIT 1",
         "user_by_email": "SELECT lower(trim(email)) AS mail, min(id) AS user_id, count(*) AS accounts FROM users WHERE NOT is_deleted GROUP BY 1",

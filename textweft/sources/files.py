@@ -7,8 +7,10 @@ import io
 import tarfile
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import clean_extracted, collapse, cut_references, strip_structure, valid_utf8
@@ -28,6 +30,16 @@ def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.CHUNK, ("text", "arxiv_id", "title", "chunk_id")).withColumn("source_type", F.coalesce("source_type", F.lit("unknown")))
 
 
+def chunk_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Only the texts of a chunk file; none if there is no file."""
+    try:
+        return json_lines(spark, path, "text string")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "text string")
+
+
 def hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """Rows (ord, top_code, top_name, subs) of a category file, one JSON object for all."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.HIERARCHY).alias("m"))
@@ -70,6 +82,18 @@ def largest_tex(content: bytes) -> bytes | None:
 
 def archive_sources(files: DataFrame) -> DataFrame:
     """path and latex (text or null) of a binaryFile table of source archives."""
+    return opened(files.select("path", "content"), "content").select("path", "latex")
+
+
+def opened(rows: DataFrame, archive: str, pdf: str | None = None, extract_pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """The rows with latex, the text of the ``archive`` bytes, and pdf_text, what ``extract_pdf`` finds in the ``pdf`` bytes, in their place.
+
+    Null where there are no bytes, nothing is found or, for PDFs, no extractor
+    is given.  One narrow pass: bytes are neither shuffled nor joined back.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in (archive, pdf)]
+    schema = T.StructType([*kept, T.StructField("latex", T.StringType()), T.StructField("pdf_text", T.StringType())])
+    bytes_of = [F.col(archive).alias("_archive"), (F.col(pdf) if pdf else F.lit(None).cast("binary")).alias("_pdf")]
 
     def run(batches):
         import pyarrow as pa
@@ -77,10 +101,12 @@ def archive_sources(files: DataFrame) -> DataFrame:
         from textweft.sources.files import largest_tex as pick
 
         for batch in batches:
-            found = [None if c is None else pick(c) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if f is None else f.decode("utf-8", "replace") for f in found], pa.string())], names=["path", "latex"])
+            n = batch.num_columns - 2
+            found = [c and pick(c) for c in batch.column(n).to_pylist()]
+            pages = [extract_pdf(c) if c is not None and extract_pdf else None for c in batch.column(n + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([f.decode("utf-8", "replace") if f else None for f in found], pa.string()), pa.array(pages, pa.string())], names=schema.names)
 
-    return map_arrow(files.select("path", "content"), run, "path string, latex string")
+    return map_arrow(rows.select(*[f.name for f in kept], *bytes_of), run, schema)
 
 
 def document_texts(files: DataFrame, archives: DataFrame | None = None, extract_pdf: Callable[[bytes], str] | None = None, least: int = 20) -> DataFrame:
@@ -93,25 +119,14 @@ def document_texts(files: DataFrame, archives: DataFrame | None = None, extract_
     read as text.
     """
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    base = files.withColumn("_suffix", suffix).withColumn("_text", valid_utf8(F.col("content")))
+    base = files.select("path", suffix.alias("_suffix"), valid_utf8(F.col("content")).alias("_text"), F.when(suffix == ".pdf", F.col("content")).alias("_bytes"), F.lit(None).cast("binary").alias("_none"))
+    base = (opened(base, "_none", "_bytes", extract_pdf) if extract_pdf else base.withColumn("pdf_text", F.lit(None).cast("string"))).drop("latex", "_bytes", "_none")
+    # only texts meet in this join, not the files' bytes
     base = base.join(archives.select("path", "latex"), "path", "left") if archives is not None else base.withColumn("latex", F.lit(None).cast("string"))
-    if extract_pdf is not None:
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                kind, body = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                out = [extract_pdf(c) if k == ".pdf" and c is not None else None for k, c in zip(kind, body, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "_pdf"])
-
-        base = base.join(map_arrow(base.select("path", "_suffix", "content"), run, "path string, _pdf string"), "path", "left")
-    else:
-        base = base.withColumn("_pdf", F.lit(None).cast("string"))
     some = lambda c: F.when(F.trim(c) != "", c)
     archive = some(F.when(F.size(F.split(collapse(F.col("latex")), " ")) >= least, strip_structure(F.col("latex"))))
     tex = some(F.when(F.col("_suffix") == ".tex", strip_structure(F.col("_text"))))
-    pdf = some(cut_references(clean_extracted(F.col("_pdf"))))
+    pdf = some(cut_references(clean_extracted(F.col("pdf_text"))))
     plain = some(F.when(F.col("_suffix") != ".pdf", collapse(F.col("_text"))))
     kind = F.when(archive.isNotNull() | tex.isNotNull(), "latex").when(pdf.isNotNull(), "pdf").otherwise("unknown")
     return base.select("path", F.coalesce(archive, tex, pdf, plain).alias("raw_text"), kind.alias("source_type"))
@@ -125,3 +140,8 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 def write_split(rows: DataFrame, path: str) -> None:
     """One Parquet folder a split, so that reading one reads nothing else."""
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One JSON document a line, as it is; other columns are left out."""
+    reports.select("report").write.mode("overwrite").text(path)

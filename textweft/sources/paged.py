@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 
 def pages(fetch: Callable[[str, int, int], list], category: str, most: int, size: int, pause: float = 0.0) -> Iterator[dict]:
@@ -34,10 +34,12 @@ class Category(InputPartition):
         self.code = code
 
 
-def paged_source(name: str, schema: str, fetch: Callable[[str, int, int], list]) -> type[DataSource]:
+def paged_source(name: str, schema: str, fetch: Callable[[str, int, int], list], category: str = "category") -> type[DataSource]:
     """A data source class to register: ``spark.dataSource.register(paged_source(...))``.
 
     Options: categories (comma-separated), per_category, batch_size, pause_sec.
+    An equality or IN on the column ``category`` is pushed down: other categories are not
+    asked for (``spark.sql.python.filterPushdown.enabled``).
     """
 
     class Reader(DataSourceReader):
@@ -45,6 +47,14 @@ def paged_source(name: str, schema: str, fetch: Callable[[str, int, int], list])
             self.codes = sorted({c.strip() for c in options.get("categories", "").split(",") if c.strip()})
             self.most, self.size, self.pause = int(options.get("per_category", 300)), int(options.get("batch_size", 100)), float(options.get("pause_sec", 0))
 
+        def pushFilters(self, filters):
+            for f in filters:
+                if isinstance(f, (EqualTo, In)) and f.attribute == (category,):
+                    asked = f.value if isinstance(f, In) else (f.value,)
+                    self.codes = [c for c in self.codes if c in asked]
+                else:
+                    yield f
+
         def partitions(self):
             return [Category(c) for c in self.codes]
 

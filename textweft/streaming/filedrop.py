@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def watch(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -16,20 +15,16 @@ def watch(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> D
 def write_once(stream: DataFrame, key: str, target: str, checkpoints: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d):
     """Append the transformed documents to ``target``, each key once, and return the query after what is there.
 
-    A batch that is run again, or a document that is dropped again, adds
-    nothing: keys already written are left out.
+    Keys seen are kept in the stream's state, so a batch costs what it holds
+    and not what was written before; of rows with one key in one batch, any is
+    kept.  A batch writes its own folder, ``target``/batch=N, so one that is run
+    again replaces what it wrote.  A null key is a key like others.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in batch.columns if c != key]), F.lit(0)).alias("_r")).select(key, "_r.*")
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception as error:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        transform(fresh).write.mode("append").parquet(target)
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoints).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    once = stream.dropDuplicates([key])
+    query = once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoints).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
