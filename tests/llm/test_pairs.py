@@ -421,3 +421,21 @@ def test_bands():
     assert leak.bands_for(0.5, 0.99) == 7
     with pytest.raises(ZeroDivisionError):
         leak.bands_for(0.0, 0.9)
+
+
+def test_sparse_members():
+    m = leak.Members([[1, 5], [], [0, 9]], 10)
+    assert m.has(np.array([0, 0, 1, 2, 2]), np.array([1, 2, 5, 9, 1])).tolist() == [True, False, False, True, False]
+    assert leak.Members([], 3).has(np.array([0]), np.array([0])).tolist() == [False]
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [(i, prose(30, rng)) for i in range(9)]
+    docs = [(i, prose(40, rng) + " " + items[i % 9][1] + " " + prose(20, rng)) for i in range(18)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in leak.leaks(a, b).collect()}
+    monkeypatch.setattr(leak, "BLOCK", 4)
+    assert {tuple(r) for r in leak.leaks(a, b).collect()} == whole == {(i, i % 9) for i in range(18)}
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 50)
+    assert {tuple(r) for r in leak.leaks(a, b).collect()} == whole

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,8 +29,10 @@ TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 UNSEEN_COMMAND = re.compile(r"\\(?:cite|ref|eqref|label|begin|end|vspace|hspace|includegraphics)[a-z]*\*?(?:\[[^\]]*\])*\{[^{}]*\}")
 COMMAND = re.compile(r"\\[a-zA-Z]+\*?")
 
-#: Items handled in one pass over the documents; more are handled in further passes.
-BLOCK = 2_000
+#: Items, and words of items, handled in one pass over the documents; more are handled in further passes.
+BLOCK, BLOCK_WORDS = 2_000, 1_000_000
+#: Bits of the table that sends most unknown shingles away before they are looked up.
+SIEVE = 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -101,25 +104,17 @@ class Partition:
             order = np.argsort(low, kind="stable").astype(np.int32)
             self.lists.append(order)
             self.starts.append(np.searchsorted(low[order], np.arange(n + 1)).astype(np.int32))
-        self.has = np.zeros((len(queries), n), bool)
-        for i, s in enumerate(sets):
-            self.has[i, s] = True
-
-    def known(self, ids: np.ndarray, doc: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``ids`` where a shingle of some query starts, and which shingle it is."""
-        k = self.width
-        if len(ids) < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        codes = shingle_codes(ids, k, base)
-        at = np.flatnonzero(doc[: len(codes)] == doc[k - 1 :])
-        if k > 1:
-            solid = ids[: len(codes)] > 0
-            for j in range(1, k):
-                solid = solid & (ids[j : len(codes) + j] > 0)
-            at = at[solid[at]]
-        where = np.searchsorted(self.universe, codes[at])
+        self.sets = sets
+        self.sieve = np.zeros(1 << SIEVE, bool)
+        self.sieve[(self.universe >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+
+    def known(self, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``at`` where a shingle of some query starts, and which shingle it is; codes: of the shingles there."""
+        may = self.sieve[(codes >> np.uint64(64 - SIEVE)).astype(np.int64)]
+        at, codes = at[may], codes[may]
+        where = np.searchsorted(self.universe, codes)
         where[where == len(self.universe)] = 0
-        right = self.universe[where] == codes[at]
+        right = self.universe[where] == codes
         return at[right], where[right].astype(np.int32)
 
     def candidates(self, at: np.ndarray, sid: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -162,6 +157,47 @@ def shingle_codes(ids: np.ndarray, width: int, base: int) -> np.ndarray:
     return code
 
 
+class Shingles:
+    """The runs of known words of all documents of a batch, for each width made once."""
+
+    def __init__(self, ids: np.ndarray, doc: np.ndarray, base: int):
+        self.ids, self.doc, self.base, self.made = ids, doc, base, {}
+
+    def __getitem__(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a run starts, and its code."""
+        if width not in self.made:
+            n = max(0, len(self.ids) - width + 1)
+            solid = self.doc[:n] == self.doc[len(self.doc) - n :]
+            for j in range(width):
+                solid &= self.ids[j : n + j] > 0
+            at = np.flatnonzero(solid)
+            self.made[width] = at, shingle_codes(self.ids, width, self.base)[at]
+        return self.made[width]
+
+
+class Members:
+    """Which values belong to which set: one sorted array behind a sieve, instead of a table of sets by values."""
+
+    def __init__(self, sets: list, values: int):
+        self.values = values
+        self.pairs = np.unique(np.concatenate([np.asarray(s, np.int64) + i * values for i, s in enumerate(sets)] or [np.zeros(0, np.int64)]))
+        self.shift = np.uint64(64 - max(8, (16 * len(self.pairs)).bit_length()))
+        self.sieve = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.sieve[self.place(self.pairs)] = True
+
+    def place(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def has(self, which: np.ndarray, value: np.ndarray) -> np.ndarray:
+        pair = which.astype(np.int64) * self.values + value
+        out = self.sieve[self.place(pair)]
+        at = np.flatnonzero(out)
+        where = np.searchsorted(self.pairs, pair[at])
+        where[where == len(self.pairs)] = 0
+        out[at] = self.pairs[where] == pair[at]
+        return out
+
+
 def ragged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ranges low..high-1: the range's number and every position in it."""
     n = high - low
@@ -196,11 +232,8 @@ class LeakIndex:
         self.fragments = [Partition(k, 2 * u, u, q, bands_for(1 / (2 * u - k + 1) if u - k + 1 < 2 else 2 / (2 * u - k + 1), recall), self.base, rng) for (k, u), q in sorted(fragments.items())]
         # half of the three-word shingles of a typical edited item are untouched; a fifth is what the bands are tuned for
         self.whole = [Partition(3, 2 * u + u // 4, u, q, bands_for(0.1, recall), self.base, rng) for u, q in sorted(whole.items())]
-        self.uses = [np.zeros((len(p.item), self.base), bool) for p in self.whole]
-        for p, use in zip(self.whole, self.uses, strict=True):
-            for j, i in enumerate(p.item):
-                use[j, self.words[i]] = True
-                use[j, 0] = False
+        self.shingles = [Members(p.sets, len(p.universe)) for p in self.whole]
+        self.uses = [Members([self.words[i] for i in p.item], self.base) for p in self.whole]
 
     def search(self, texts: list[str | None]) -> np.ndarray:
         """Rows (document position, item position) of all leaks in ``texts``."""
@@ -215,15 +248,16 @@ class LeakIndex:
         starts, ends = starts[busy], ends[busy]
         if not len(starts) or not self.keys:
             return np.zeros((0, 2), np.int64)
-        hits = [self.exact_runs(p, ids, doc, starts, ends) for p in self.fragments]
+        runs = Shingles(ids, doc, self.base)
+        hits = [self.exact_runs(p, runs, ids, doc, starts, ends) for p in self.fragments]
         sure = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        for p, use in zip(self.whole, self.uses, strict=True):
-            more = self.edited(p, use, ids, doc, starts, ends, sure)
+        for p, shingles, use in zip(self.whole, self.shingles, self.uses, strict=True):
+            more = self.edited(p, shingles, use, runs, ids, doc, starts, ends, sure)
             sure = np.union1d(sure, more)
         return np.stack([sure // len(self.keys), sure % len(self.keys)], 1)
 
-    def exact_runs(self, p: Partition, ids, doc, starts, ends) -> np.ndarray:
-        at, sid = p.known(ids, doc, self.base)
+    def exact_runs(self, p: Partition, runs: Shingles, ids, doc, starts, ends) -> np.ndarray:
+        at, sid = p.known(*runs[p.width])
         low, high, q, _, _ = p.candidates(at, sid, starts, ends)
         who, k = ragged(low, high)
         right = sid[k] == p.first[q[who]]
@@ -250,8 +284,8 @@ class LeakIndex:
             n += live
         return n
 
-    def edited(self, p: Partition, use, ids, doc, starts, ends, sure) -> np.ndarray:
-        at, sid = p.known(ids, doc, self.base)
+    def edited(self, p: Partition, shingles: Members, use: Members, runs: Shingles, ids, doc, starts, ends, sure) -> np.ndarray:
+        at, sid = p.known(*runs[p.width])
         low, high, q, begin, finish = p.candidates(at, sid, starts, ends)
         pair = doc[begin].astype(np.int64) * len(self.keys) + p.item[q]
         new = ~np.isin(pair, sure)
@@ -261,12 +295,15 @@ class LeakIndex:
         size = p.size[q]
         edits = (size * self.edits).astype(np.int64)
         # every edit spoils at most three of the three-word shingles
+        least = np.maximum(1, size - 2 - 3 * edits)
+        keep = high - low >= least
+        low, high, q, begin, finish, pair, size, edits, least = (v[keep] for v in (low, high, q, begin, finish, pair, size, edits, least))
         who, k = ragged(low, high)
-        held = np.bincount(who, p.has[q[who], sid[k]], len(q))
-        keep = held >= np.maximum(1, size - 2 - 3 * edits)
+        held = np.bincount(who, shingles.has(q[who], sid[k]), len(q))
+        keep = held >= least
         low, high, q, begin, finish, pair, size, edits = (v[keep] for v in (low, high, q, begin, finish, pair, size, edits))
         who, k = ragged(begin, finish)
-        held = np.bincount(who, use[q[who], ids[k]], len(q))
+        held = np.bincount(who, use.has(q[who], ids[k]) & (ids[k] > 0), len(q))
         keep = held >= size - edits
         out = set()
         for j in np.flatnonzero(keep):
@@ -275,6 +312,17 @@ class LeakIndex:
         return np.array(sorted(out), np.int64)
 
 
+_MADE: dict = {}
+
+
+def index_of(name: str, items: list, run: int, edits: float, whole_from: int) -> LeakIndex:
+    """The index called ``name``, made once in each worker process."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = LeakIndex(items, run, edits, whole_from)
+    return _MADE[name]
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", run: int = 12, edits: float = 0.25, whole_from: int = 20) -> DataFrame:
     """(key, item_key) of every document that holds an item, in one stretch.
 
@@ -282,8 +330,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     items of at least ``whole_from`` words, the whole item with at most the
     part ``edits`` of its words replaced, dropped or added.
 
-    One pass over the documents for every BLOCK items, without a shuffle; the
-    items of a block travel to the workers.  Whole texts are read.  Null and
+    One pass over the documents for every BLOCK items or BLOCK_WORDS words of
+    items, without a shuffle; the items of a block travel to the workers, which
+    make their index once.  What an index holds grows with the items' words.  Whole texts are read.  Null and
     blank texts hold nothing, items without a word are in no document, repeated
     rows give repeated results only once for each key.
     """
@@ -292,15 +341,17 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("_item", T.IntegerType())])
     source = documents.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
     rows = items.where(F.col(item_text).isNotNull()).select(item_key, item_text)
-    out, block, number = None, [], 0
+    out, block, number, size = None, [], 0, 0
 
     def one_pass(block):
+        name = uuid.uuid4().hex
+
         def run_batches(batches):
             import pyarrow as pa
 
-            from textweft.llm.leak import LeakIndex
+            from textweft.llm.leak import index_of
 
-            index = LeakIndex(block, run, edits, whole_from)
+            index = index_of(name, block, run, edits, whole_from)
             for batch in batches:
                 hit = index.search(batch.column(1).to_pylist())
                 keys = batch.column(0).take(pa.array(hit[:, 0], pa.int64()))
@@ -316,8 +367,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             names.append((number, r[0]))
             block.append((number, found))
             number += 1
-        if len(block) == BLOCK:
-            part, block = one_pass(block), []
+            size += len(found)
+        if len(block) == BLOCK or size >= BLOCK_WORDS:
+            part, block, size = one_pass(block), [], 0
             out = part if out is None else out.unionByName(part)
     if block or out is None:
         part = one_pass(block)
