@@ -63,6 +63,43 @@ def test_repeated_rows_are_rows(spark):
     assert sample.target_sample(rows, targets, "record_id").rows.count() == 10
 
 
+def test_small_weights_do_not_saturate(spark):
+    # weights a million times smaller than others must still be drawn at random, not by key
+    rows = spark.createDataFrame([(i, "g", 1e-6 if i % 2 else 1.0) for i in range(4000)], "k long, g string, w double")
+    from pyspark.sql import functions as F
+
+    from textweft.llm.common import unit_interval
+
+    ranked = rows.withColumn("r", -F.log(unit_interval(F.col("k"))) / F.col("w")).withColumn("n", F.lit(1))
+    quotas = spark.createDataFrame([("g", 3000)], "g string, q long")
+    got = take_by_threshold(ranked, ["g"], "r", "k", "n", quotas, "q", scale_free=True).collect()
+    light = sorted(r["k"] for r in got if r["w"] < 1)
+    assert len(got) == 3000 and len(light) == 1000 and 1700 < np.mean(light) < 2300
+    best = sorted(ranked.collect(), key=lambda r: (r["r"], r["k"]))[:3000]
+    assert {r["k"] for r in best} == {r["k"] for r in got}
+
+
+def test_margins_and_their_gaps(spark):
+    rows = [(i, "A" if i < 600 else "B", "x" if i % 2 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "record_id long, category string, split string")
+    targets = spark.createDataFrame([("A", 0.5, 1), ("B", 0.5, 1)], TARGETS)
+    out = sample.target_sample(df, targets, "record_id", margins=("split",), fraction=0.25)
+    got = {(r["margin"], r["value"]): r for r in out.margins.collect()}
+    assert set(got) == {("category", "A"), ("category", "B"), ("split", "x"), ("split", None)}
+    assert got["category", "A"]["pool_rows"] == 600 and got["category", "A"]["sampled_rows"] == 125 and got["category", "A"]["gap_rows"] == 0
+    assert abs(got["split", "x"]["gap_rows"]) < 30 and sum(r["gap_rows"] for k, r in got.items() if k[0] == "split") == pytest.approx(0, abs=1e-6)
+
+
+def test_minimums_are_repaired_after_the_draw(spark):
+    rows = spark.createDataFrame([(i, "ABC"[i % 3] if i < 300 else "A") for i in range(600)], "record_id long, category string")
+    targets = spark.createDataFrame([("A", 0.98, 1), ("B", 0.01, 10), ("C", 0.01, 20)], TARGETS)
+    out = sample.target_sample(rows, targets, "record_id", fraction=0.5)
+    assert {r["top_name"]: r["sampled_rows"] for r in out.report.collect()} == {"A": 270, "B": 10, "C": 20}
+    plain = sample.target_sample(rows, spark.createDataFrame([("A", 0.98, 1), ("B", 0.01, 1), ("C", 0.01, 1)], TARGETS), "record_id", fraction=0.5)
+    kept = lambda o, c: {r["record_id"] for r in o.rows.collect() if r["category"] == c}
+    assert kept(plain, "B") < kept(out, "B") and kept(out, "A") < kept(plain, "A")
+
+
 def test_raking_meets_both_margins():
     counts = np.array([100, 50, 30, 20])
     labels = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]

@@ -37,19 +37,21 @@ def bounded_collect(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def take_by_threshold(df: DataFrame, group: list[str], rank: str, tie: str, amount: str, quotas: DataFrame, whole: str, bins: int = 4096) -> DataFrame:
+def take_by_threshold(df: DataFrame, group: list[str], rank: str, tie: str, amount: str, quotas: DataFrame, whole: str, bins: int = 4096, scale_free: bool = False) -> DataFrame:
     """Rows of each group with the smallest ``rank`` until ``amount`` sums to the quota.
 
     Works without ordering a whole group in one task: amounts are summed by
-    ``bins`` equal ranges of ``rank`` (a number in [0, 1)), the range in which
-    the quota falls is found from those sums, and only the rows inside that one
-    range are ordered.  A row is taken if the running sum up to and including
-    it stays within the quota.
+    ``bins`` equal ranges of ``rank`` (a number in [0, 1)), or, with
+    ``scale_free``, by ranges of one 64th of a doubling of a positive ``rank``
+    of any size; the range in which the quota falls is found from those sums,
+    and only the rows inside that one range are ordered.  A row is taken if the
+    running sum up to and including it stays within the quota.
 
     quotas: ``group`` columns and ``whole``, the quota.  Groups without a quota
     give no row.
     """
-    binned = df.withColumn("_bin", F.least(F.lit(bins - 1), F.floor(F.col(rank) * bins)).cast("int"))
+    place = F.floor(F.log2(F.col(rank)) * 64) if scale_free else F.least(F.lit(bins - 1), F.floor(F.col(rank) * bins))
+    binned = df.withColumn("_bin", place.cast("int"))
     sums = binned.groupBy(*group, "_bin").agg(F.sum(amount).alias("_sum"))
     from pyspark.sql import Window as W
 

@@ -29,6 +29,11 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return _p1(spark, root).report
 
 
+def p1_margins(spark: SparkSession, root: str) -> DataFrame:
+    """Shares of every margin in the pool and the sample, with the gaps."""
+    return _p1(spark, root).margins
+
+
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of every oversized chunk text."""
     return split.split_oversized(table(spark, root, "chunked_database"), keep=("row_id", "arxiv_id", "chunk_id"))

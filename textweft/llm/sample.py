@@ -1,8 +1,8 @@
 """Problem 1: a sample whose category shares follow given targets.
 
 Weights are raked by iterative proportional fitting over several margins,
-rows are drawn by weighted exponential keys, minimums are repaired and what
-is still missing is reported.
+rows are drawn by weighted exponential keys, minimums the draw has missed are
+repaired, and what is still missing is reported for every margin.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ MAX_CELLS = 1_000_000
 class Sampled:
     rows: DataFrame
     report: DataFrame
+    margins: DataFrame
     size: int
     pool: int
 
@@ -72,7 +73,7 @@ def whole_numbers(x: np.ndarray, most: np.ndarray, total: int) -> np.ndarray:
 
 
 def repair(quota: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Raise every quota to its minimum, taking from the largest surplus over a minimum."""
+    """Raise every number drawn to its minimum, taking from the largest surplus over a minimum."""
     quota = quota.copy()
     need = int(np.maximum(least - quota, 0).sum())
     quota = np.maximum(quota, least)
@@ -119,9 +120,15 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
     give nothing.  Repeated rows are separate rows.  An empty pool gives an
     empty sample and a report of zeros.
 
+    rows: the sample.  report: per category of the targets, what was wanted and
+    drawn.  margins: for every margin and value its share in the pool and in the
+    sample, and the gap in rows; the category's gap is to its target.
+
     Only the contingency table (labels and counts, see MAX_CELLS) comes to the
     driver.  Rows are drawn by key ``-ln(u) / weight`` through per-category
-    thresholds, so a category of any size is never ordered in one task.
+    thresholds, so a category of any size is never ordered in one task.  What
+    the draw lacks in minimums is added in the order of the keys, and taken off
+    the end of the categories with the largest surplus.
     """
     require(rows, key, category, *margins)
     spark = rows.sparkSession
@@ -141,7 +148,7 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
     share = np.array([want[n][0] for n in names])
     least = np.minimum(np.array([want[n][1] for n in names], dtype=np.int64), have)
 
-    quota = repair(whole_numbers(fill_to(share * size, have.astype(float), min(size, int(have.sum()))), have, size), least) if len(cells) else np.zeros(len(names), dtype=np.int64)
+    quota = whole_numbers(fill_to(share * size, have.astype(float), min(size, int(have.sum()))), have, size) if len(cells) else np.zeros(len(names), dtype=np.int64)
     labels, aims = [cat], [quota.astype(float)]
     for i in range(len(margins)):
         values = sorted({r[f"_m{i}"] for r in cells})
@@ -156,15 +163,23 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
 
     fields = [T.StructField("_c", T.StringType()), *[T.StructField(f"_m{i}", T.StringType()) for i in range(len(margins))], T.StructField("_w", T.DoubleType())]
     weights = spark.createDataFrame([(r["_c"], *[r[f"_m{i}"] for i in range(len(margins))], float(max(rate[k] / top[cat[k]], 1e-12)) if top[cat[k]] > 0 else 1.0) for k, r in enumerate(cells)], T.StructType(fields))
-    quotas = spark.createDataFrame([(n, int(q)) for n, q in zip(names, quota, strict=True)], "_c string, _q long")
-
     ranked = (
-        pool.join(weights, ["_c", *[f"_m{i}" for i in range(len(margins))]])
-        # exp(-key) = u ** (1 / weight): the same order, but inside (0, 1)
-        .withColumn("_rank", 1 - F.pow(unit_interval(F.col("_key"), F.lit(seed)), 1 / F.col("_w")))
+        pool.join(F.broadcast(weights), ["_c", *[f"_m{i}" for i in range(len(margins))]])
+        .withColumn("_rank", -F.log(unit_interval(F.col("_key"), F.lit(seed))) / F.col("_w"))
         .withColumn("_one", F.lit(1))
     )
-    drawn = take_by_threshold(ranked, ["_c"], "_rank", "_key", "_one", quotas, "_q").select("_row.*")
+
+    def draw(numbers):
+        quotas = spark.createDataFrame([(n, int(q)) for n, q in zip(names, numbers, strict=True)], "_c string, _q long")
+        return take_by_threshold(ranked, ["_c"], "_rank", "_key", "_one", quotas, "_q", scale_free=True)
+
+    first = draw(quota)
+    if (quota < least).any():
+        # the draw itself says what is missing; keys that are there twice may stand on its edge
+        got = {r["_c"]: r["count"] for r in bounded_collect(first.groupBy("_c").count(), MAX_CELLS, "categories")}
+        quota = repair(np.array([got.get(n, 0) for n in names], dtype=np.int64), least)
+        first = draw(quota)
+    drawn = first.select("_row.*")
 
     base = spark.createDataFrame([(n, want[n][0], want[n][1], int(have[k]), max(float(want[n][1]), want[n][0] * size)) for k, n in enumerate(names)], "top_name string, target_share double, min_rows int, pool_rows long, wanted_rows double")
     got = drawn.groupBy(F.col(category).alias("top_name")).agg(F.count("*").alias("sampled_rows"))
@@ -175,4 +190,16 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
         .withColumn("missing_rows", F.greatest(F.lit(0.0), F.col("wanted_rows") - F.col("sampled_rows")))
         .withColumn("met", ~((F.col("pool_rows") < F.col("wanted_rows")) & (F.col("missing_rows") > 0)))
     )
-    return Sampled(drawn, report, size, n_pool)
+    sides = [(category, F.col("_c")), *[(m, F.col(f"_m{i}")) for i, m in enumerate(margins)]]
+    marks = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.nullif(c, F.lit("\0")).alias("value")) for m, c in sides])).alias("_s")
+    count = lambda d, n: d.select(marks).groupBy("_s").agg(F.count("*").alias(n)).select("_s.margin", "_s.value", n)
+    inside = pool.where(F.col("_c").isin(names)) if names else pool.where("false")
+    same = (F.col("margin") == F.col("_margin")) & F.col("value").eqNullSafe(F.col("_value"))
+    drawn_by = count(first, "sampled_rows").withColumnsRenamed({"margin": "_margin", "value": "_value"})
+    wanted = spark.createDataFrame([(category, n, float(w)) for n, w in zip(names, share, strict=True)], "_wm string, _wv string, _share double")
+    aim = F.coalesce("_share", F.col("pool_rows") / F.lit(float(max(1, int(counts.sum())))))
+    total = float(max(1, int(quota.sum())))
+    table = count(inside, "pool_rows").join(drawn_by, same, "left").join(wanted, (F.col("margin") == F.col("_wm")) & F.col("value").eqNullSafe(F.col("_wv")), "left")
+    gaps = table.select("margin", "value", "pool_rows", F.coalesce("sampled_rows", F.lit(0)).alias("sampled_rows"), aim.alias("wanted_share"), (F.coalesce("sampled_rows", F.lit(0)) / F.lit(total)).alias("actual_share"))
+    gaps = gaps.withColumn("gap_rows", F.col("sampled_rows") - F.col("wanted_share") * F.lit(total))
+    return Sampled(drawn, report, gaps, size, n_pool)
