@@ -58,3 +58,23 @@ def test_without_labels_or_documents(spark):
     docs, labels = corpus()
     assert run(spark, docs, [])[2].count() == 0
     assert run(spark, [], labels)[2].count() == 0
+
+
+def test_addresses_speak_only_beyond_chance(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, "x", "court-docket" if i % 4 == 0 else f"c{i % 3}", None) for i in range(400)]
+    labels = [(i, "law" if i % 4 == 0 and rng.random() < 0.9 else str(rng.choice(["law", "sport", "art", "food", "sea", "wood", "iron", "salt"]))) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, collection string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, subject string")
+    numbers = spark.createDataFrame([("art", 1), ("food", 2), ("law", 3), ("sport", 4)], "subject string, number int")
+    assert [tuple(r) for r in subjects.column_votes(d, lab, "doc_id", "collection", numbers).collect()] == [("court-docket", 3)]
+    assert subjects.column_votes(d, lab, "doc_id", "source", numbers).count() == 0
+
+
+def test_headings_vote_for_their_section():
+    text = "Start of it all.\n\\section{The tort} One thing is here. Another thing there.\n## A goal \nThe end of it."
+    assert subjects.sections(text) == [("", "Start of it all.\n"), ("The tort", " One thing is here. Another thing there.\n"), ("A goal", "\nThe end of it.")]
+    assert subjects.sections(None) == [] and subjects.sections("# only") == [("", ""), ("only", "")]
+    votes = subjects.vote_patterns(text, {}, {"tort": 1, "goal": 2}, 0, 0, 3)
+    # strict, broad, section, address, source: only the section has something to say
+    assert votes == {0: 1, 1 * 9: 2, 2 * 9: 1}

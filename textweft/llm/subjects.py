@@ -1,6 +1,6 @@
 """Problem 9: the subjects of each document.
 
-Labelling functions (two lexicons, the section around a sentence, the
+Labelling functions (two lexicons, the section a sentence stands in, the
 document's address and source) vote on every sentence; a latent model learns
 how far each can be trusted from how the votes agree; sentences take the
 subject with the highest posterior and documents the subjects of enough of
@@ -13,11 +13,11 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint, map_arrow
+from ..session import attach, checkpoint, map_arrow
 from .common import bounded_collect, require
 from .glyphs import fold
 
@@ -29,6 +29,7 @@ MAX_PATTERNS = 2_000_000
 
 FUNCTIONS = ("strict lexicon", "broad lexicon", "section", "address", "source")
 UNSEEN = re.compile(r"\\[a-zA-Z]+\*?\{[^{}]*\}")
+HEADING = re.compile(r"\\(?:part|chapter|(?:sub)*section|paragraph|title)\*?\{([^{}]*)\}|^[ \t]*#+[ \t]+(.+)$", re.MULTILINE)
 PARAGRAPH = re.compile(r"\r?\n[ \t]*\r?\n")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -58,17 +59,36 @@ def majority(votes: list[int]) -> int:
     return first[0] if not rest or rest[0][1] < first[1] else 0
 
 
+def sections(text: str | None) -> list[tuple[str, str]]:
+    """Heading ("" before the first) and text of each section."""
+    if not text:
+        return []
+    if "\\" not in text and "#" not in text:
+        return [("", text)]
+    out, heading, start = [], "", 0
+    for m in HEADING.finditer(text):
+        out.append((heading, text[start : m.start()]))
+        heading, start = (m.group(1) or m.group(2) or "").strip(), m.end()
+    return [*out, (heading, text[start:])]
+
+
 def vote_patterns(text: str | None, strict: dict, broad: dict, address: int, source: int, base: int) -> Counter:
-    """How often each combination of the functions' votes occurs among a document's sentences."""
+    """How often each combination of the functions' votes occurs among a document's sentences.
+
+    The section votes by the known words of its heading; where the heading has
+    none, by the sentences around.
+    """
     out: Counter = Counter()
-    for part in sentences(text):
-        near = []
-        for words in part:
-            known = [broad[w] for w in words if w in broad]
-            near.append((majority([strict[w] for w in words if w in strict]) if known else 0, majority(known)))
-        for i, (a, b) in enumerate(near):
-            around = majority([v for _, v in near[max(0, i - 2) : i] + near[i + 1 : i + 3] if v])
-            out[(((a * base + b) * base + around) * base + address) * base + source] += 1
+    for heading, body in sections(text):
+        above = majority([broad[w] for w in WORD.findall(heading.lower()) if w in broad]) if heading else 0
+        for part in sentences(body):
+            near = []
+            for words in part:
+                known = [broad[w] for w in words if w in broad]
+                near.append((majority([strict[w] for w in words if w in strict]) if known else 0, majority(known)))
+            for i, (a, b) in enumerate(near):
+                around = above or majority([v for _, v in near[max(0, i - 2) : i] + near[i + 1 : i + 3] if v])
+                out[(((a * base + b) * base + around) * base + address) * base + source] += 1
     return out
 
 
@@ -98,12 +118,21 @@ def lexicon(documents: DataFrame, labels: DataFrame, key: str, text: str, most:
     return best.where("subject <> ''").select("word", "subject", "docs", (F.col("_n") / F.col("docs")).alias("purity"))
 
 
-def column_prior(documents: DataFrame, labels: DataFrame, key: str, column: str, least: int, purity: float) -> DataFrame:
-    """Values of ``column`` whose labelled documents nearly all have one subject."""
-    joined = documents.where(F.col(column).isNotNull()).select(key, F.col(column).alias("value")).join(labels.select(key, F.coalesce("subject", F.lit("")).alias("subject")).distinct(), key)
-    n = joined.groupBy("value", "subject").agg(F.count("*").alias("n"))
-    best = n.groupBy("value").agg(F.sum("n").alias("docs"), F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("_n"))
-    return best.where((F.col("docs") >= least) & (F.col("_n") >= purity * F.col("docs")) & (F.col("subject") != "")).select("value", "subject")
+def column_votes(documents: DataFrame, labels: DataFrame, key: str, column: str, numbers: DataFrame, least: int = 5, share: float = 0.3, lift: float = 2.0) -> DataFrame:
+    """value, vote: the subject's number for values of ``column`` that speak for one.
+
+    A value does if it has ``least`` labels, ``share`` of them of one subject,
+    and these less two standard deviations are still ``lift`` times what chance
+    gives.  How far such a vote can be trusted is for the latent model to learn.
+    numbers: subject, number.
+    """
+    said = labels.select(key, F.coalesce("subject", F.lit("")).alias("subject")).distinct()
+    n = documents.where(F.col(column).isNotNull()).select(key, F.col(column).cast("string").alias("value")).join(said, key).groupBy("value", "subject").agg(F.count("*").alias("n"))
+    best = n.groupBy("value").agg(F.sum("n").alias("labels"), F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("n"))
+    usual = said.groupBy("subject").agg(F.count("*").alias("all"))
+    usual = usual.withColumn("total", F.sum("all").over(Window.partitionBy()))
+    chosen = best.join(F.broadcast(usual), "subject").where((F.col("labels") >= least) & (F.col("n") >= share * F.col("labels")) & ((F.col("n") - 2 * F.sqrt("n")) * F.col("total") >= lift * F.col("labels") * F.col("all")))
+    return chosen.join(F.broadcast(numbers), "subject").select("value", F.col("number").alias("vote"))
 
 
 def latent_model(votes: np.ndarray, weight: np.ndarray, k: int, rounds: int = 60) -> np.ndarray:
@@ -147,12 +176,13 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     """key, subject, sentences (of the document), about (of them on the subject).
 
     A document has a subject if at least ``share`` of its sentences are about
-    it; one single sentence does not count beside another subject with more.
+    it, each by the posterior that passes a half; one single sentence does not
+    count beside another subject with more.
     Null and blank documents and those about nothing have no row; repeated rows
     give one row each time the key is new.  Without labels nothing is assigned.
 
-    Only the lexicon, the address and source tables of labelled documents and
-    the vote patterns come to the driver, each with a checked bound; every
+    Only the lexicon and the vote patterns come to the driver, each with a
+    checked bound; what addresses and sources speak for is joined.  Every
     sentence of every document votes.
     """
     require(documents, key, text, address, source)
@@ -162,10 +192,15 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     words = bounded_collect(lexicon(documents, labels, key, text).where("docs >= 2 AND purity >= 0.6"), MAX_LEXICON, "lexicon")
     broad = {r["word"]: at[r["subject"]] for r in words if r["subject"] in at}
     strict = {r["word"]: at[r["subject"]] for r in words if r["subject"] in at and r["purity"] >= 0.9 and r["docs"] >= 3}
-    prior = [{r["value"]: at[r["subject"]] for r in bounded_collect(column_prior(documents, labels, key, c, 5, 0.9), MAX_LEXICON, c) if r["subject"] in at} for c in (address, source)]
+    numbers = documents.sparkSession.createDataFrame(list(at.items()), "subject string, number int")
 
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType), *T.StructType.fromDDL("sentences int, patterns array<bigint>, times array<int>").fields])
     rows = documents.where(F.col(text).isNotNull()).select(key, F.col(address).cast("string").alias("_a"), F.col(source).cast("string").alias("_s"), F.col(text).alias("_text"))
+    for short, column in (("_a", address), ("_s", source)):
+        votes = column_votes(documents, labels, key, column, numbers)
+        rows = attach(rows, votes.select(F.col("value").alias(short), F.col("vote").alias(short + "v")), short, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = rows.select(key, zero("_av").alias("_av"), zero("_sv").alias("_sv"), "_text")
 
     def run(batches):
         import pyarrow as pa
@@ -174,7 +209,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
         for batch in batches:
             _, a, s, t = (c.to_pylist() if i else c for i, c in enumerate(batch.columns))
-            found = [vote(x, strict, broad, prior[0].get(p, 0), prior[1].get(q, 0), base) for x, p, q in zip(t, a, s, strict=True)]
+            found = [vote(x, strict, broad, p, q, base) for x, p, q in zip(t, a, s, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([sum(c.values()) for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
                 names=[key, "sentences", "patterns", "times"],
@@ -187,7 +222,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     weight = np.array([r["n"] for r in patterns], dtype=float)
     votes = np.stack([codes // base**j % base for j in reversed(range(len(FUNCTIONS)))], 1) if len(codes) else np.zeros((0, len(FUNCTIONS)), np.int64)
     post = latent_model(votes, weight, len(names)) if len(codes) else np.zeros((0, base))
-    best = {int(c): int(p.argmax()) for c, p in zip(codes, post, strict=True) if p.max() > 0.5}
+    best = {int(c): int(p.argmax()) for c, p in zip(codes, post, strict=True) if p.max() > 0.5 and p.argmax()}
 
     out = T.StructType([T.StructField(key, documents.schema[key].dataType), *T.StructType.fromDDL("subject string, sentences int, about int").fields])
 
@@ -199,7 +234,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
             for i, (total, codes, times) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True)):
                 n: Counter = Counter()
                 for c, k in zip(codes, times, strict=True):
-                    if best.get(c, 0):
+                    if c in best:
                         n[best[c]] += k
                 top = max(n.values(), default=0)
                 for s, k in n.items():
