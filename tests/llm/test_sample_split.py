@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textweft.llm import mix, sample, split
+from textweft.llm import mix, queries, sample, split
 from textweft.llm.common import take_by_threshold
 
 DIM = "top_code string, top_name string, sub_code string, sub_name string"
@@ -188,7 +188,7 @@ def test_mix(spark):
     docs = [(i, f"text number {i} of source a " * 3, "a") for i in range(60)] + [(100 + i, f"b {i}", "b") for i in range(5)] + [(200, None, "a"), (201, "", "b"), (202, "left out", None), (203, "left out", "z"), (100, "b 0", "b")]
     rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4)], "source string, target_share double, max_repeats int")
-    out = mix.mix_sources(rows, targets)
+    out = mix.mix_sources(rows, targets, queries.RANKS)
     report = {r["source"]: r for r in out.report.collect()}
     assert not report["a"]["short"] and report["b"]["short"] and report["c"]["short"]
     assert report["b"]["selected_tokens"] == 2 * report["b"]["own_tokens"]
@@ -197,5 +197,5 @@ def test_mix(spark):
     picked = out.rows.collect()
     assert all(r["repeats"] <= (1 if r["source"] == "a" else 2) for r in picked)
     assert {r["source"] for r in picked} == {"a", "b"}
-    empty = mix.mix_sources(rows.limit(0), targets)
+    empty = mix.mix_sources(rows.limit(0), targets, queries.RANKS)
     assert empty.rows.count() == 0 and empty.report.count() == 3

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, map_arrow
 from .common import bounded_collect, require, take_by_threshold, unit_interval
 
-DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a text is divided before merging (the pattern published with the ranks).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Membership patterns (sets of sources) and sources that may come to the driver.
@@ -34,8 +33,11 @@ def tokenizer(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_tokens(rows: DataFrame, keep: list[str], text: str = "text", ranks: str = DEFAULT_RANKS, out: str = "tokens") -> DataFrame:
-    """``keep`` columns and the token count of the whole ``text``; null and empty texts have 0."""
+def with_tokens(rows: DataFrame, keep: list[str], ranks: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """``keep`` columns and the token count of the whole ``text``; null and empty texts have 0.
+
+    ranks: the tokenizer's file of merge ranks, at the same place on every machine.
+    """
     schema = rows.select(*keep).withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches):
@@ -107,13 +109,14 @@ class Flow:
             sent += step
 
 
-def route(members: dict[tuple[str, ...], tuple[int, dict[str, int]]], wanted: dict[str, float], repeats: dict[str, int], layers: int = 16) -> dict[tuple[tuple[str, ...], str], int]:
+def route(members: dict[tuple[str, ...], tuple[int, dict[str, int]]], wanted: dict[str, float], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens each membership pattern gives to each of its sources.
 
     members: pattern -> (tokens of its distinct texts, tokens of its documents
     by source).  A source takes at most repeats x its own tokens of a pattern.
-    The r-th pass over a pattern's distinct texts costs r squared a token; what
-    lies beyond ``layers`` passes costs as the last of them.
+    The r-th pass over a pattern's distinct texts costs r squared a token, from
+    the third on by doublings (3 and 4 cost as 4, 5 to 8 as 8), so that any
+    number of passes takes few arcs and each still costs more than those before.
     """
     names, patterns = sorted(wanted), sorted(members)
     flow = Flow(2 + len(names) + 2 * len(patterns))
@@ -125,11 +128,11 @@ def route(members: dict[tuple[str, ...], tuple[int, dict[str, int]]], wanted: di
         once, own = members[p]
         node = 2 + len(names) + 2 * i
         rest = sum(repeats[s] * own[s] for s in p)
-        for r in range(1, layers + 1):
-            step = rest if r == layers else min(rest, once)
-            if step > 0:
-                flow.arc(0, node, step, r * r)
-                rest -= step
+        done, upto = 0, 1
+        while rest > 0 and once > 0:
+            step = min(rest, (upto - done) * once)
+            flow.arc(0, node, step, upto * upto)
+            rest, done, upto = rest - step, upto, 2 * upto
         for s in p:
             if own[s] > 0 and repeats[s] > 0:
                 arcs[p, s] = flow.arc(node, at[s], repeats[s] * own[s], 0)
@@ -143,14 +146,15 @@ class Mix:
     report: DataFrame
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 11, ranks: str = DEFAULT_RANKS) -> Mix:
+def mix_sources(documents: DataFrame, targets: DataFrame, ranks: str, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 11) -> Mix:
     """Select documents, with repeats, so that each source has its share of all tokens.
 
     targets: source, target_share, max_repeats.  The mix is as large as the
     documents of the target sources together.  rows: key, source, tokens,
     repeats (1..max_repeats).  report: per source its share, own tokens, wanted,
-    routed and selected tokens, the share reached and ``short`` where all its
-    documents, repeated as often as allowed, stay below the wanted tokens.
+    routed and selected tokens, the share reached and ``short`` where the flow,
+    which repeats all its documents as often as allowed, stays below the wanted
+    tokens.
 
     Equal texts under several sources form one membership pattern, so repeats
     go first to texts used least.  Null sources and sources without a target are left out;
@@ -165,7 +169,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
     own_rows = documents.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_x")).join(names, "_s", "left_semi")
     hashed = own_rows.select("_k", "_s", F.xxhash64("_x").alias("_h1"), F.hash("_x").alias("_h2"), "_x")
     # the row number tells repeated keys apart; it is fixed by being written down
-    counted = checkpoint(with_tokens(hashed, ["_k", "_s", "_h1", "_h2"], "_x", ranks).withColumn("_i", F.monotonically_increasing_id()))
+    counted = checkpoint(with_tokens(hashed, ["_k", "_s", "_h1", "_h2"], ranks, "_x").withColumn("_i", F.monotonically_increasing_id()))
 
     texts = counted.where("tokens > 0").groupBy("_h1", "_h2", "_s").agg(F.sum("tokens").alias("_own"), F.max("tokens").alias("_once"))
     # at most one row a source for each text, whatever the number of copies
@@ -202,7 +206,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", s
     for (_, s), n in routed.items():
         sums[s] += n
     base = spark.createDataFrame(
-        [(s, float(want[s]["target_share"] or 0), repeats[s], own[s], wanted[s], sums[s], repeats[s] * own[s] < wanted[s] and sums[s] < wanted[s]) for s in sorted(want)],
+        [(s, float(want[s]["target_share"] or 0), repeats[s], own[s], wanted[s], sums[s], sums[s] < wanted[s]) for s in sorted(want)],
         "source string, target_share double, max_repeats int, own_tokens long, wanted_tokens double, routed_tokens long, short boolean",
     )
     got = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("selected_tokens"))

@@ -9,6 +9,10 @@ from ..session import table
 from . import knn, leak, lookalike, mix, overlap, sample, spans, split, subjects
 
 
+#: File of merge ranks of a public tokenizer.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _p1(spark: SparkSession, root: str) -> sample.Sampled:
     rows = sample.with_category(table(spark, root, "papers"), table(spark, root, "category_dim"))
     return sample.target_sample(rows, table(spark, root, "category_targets"), "record_id", margins=("split", "feed"))
@@ -126,7 +130,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _p8(spark: SparkSession, root: str) -> mix.Mix:
-    return mix.mix_sources(table(spark, root, "documents"), table(spark, root, "source_targets"))
+    return mix.mix_sources(table(spark, root, "documents"), table(spark, root, "source_targets"), RANKS)
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:

@@ -26,6 +26,13 @@ P3 = r"""
   SELECT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM pairs
 """
 
+P3_REPORT = f"""
+  WITH found AS ({P3}),
+  held AS (SELECT record_id, split, feed FROM papers WHERE split IN ('val', 'test')),
+  n AS (SELECT record_id, count(*) AS pairs FROM held JOIN found ON record_id IN (record_id_a, record_id_b) GROUP BY 1)
+  SELECT split, feed, count(*) AS rows, count(pairs) AS overlapping_rows, coalesce(sum(pairs), 0)::BIGINT AS pairs FROM held LEFT JOIN n USING (record_id) GROUP BY ALL
+"""
+
 P4 = """
   WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM faiss_metadata WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
   s AS (SELECT a.vec_id AS q, b.vec_id AS n, round(array_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
@@ -41,14 +48,31 @@ P5 = r"""
   SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM hits a JOIN hits b USING (g) WHERE a.row_id < b.row_id AND a.paper <> b.paper
 """
 
+P5_STARTS = r"""
+  WITH rows AS (SELECT row_id, regexp_replace(trim(arxiv_id), 'v[0-9]+$', '') AS paper, text FROM chunked_database WHERE length(text) >= 200 AND arxiv_id IS NOT NULL),
+  grams AS MATERIALIZED (SELECT row_id, paper, i, md5_number(substr(text, i, 200)) AS g FROM (SELECT *, unnest(range(1, length(text) - 198)) AS i FROM rows)),
+  shared AS (SELECT g, min(row_id) AS least FROM grams GROUP BY g HAVING min(paper) <> max(paper)),
+  starts AS MATERIALIZED (SELECT DISTINCT row_id, i, g, least FROM grams JOIN shared USING (g)),
+  places AS (SELECT DISTINCT row_id, i FROM starts)
+"""
+P5_SPANS = P5_STARTS + """, marked AS (SELECT row_id, i, i - row_number() OVER (PARTITION BY row_id ORDER BY i) AS island FROM places)
+  SELECT row_id, (min(i) - 1)::INT AS start, (max(i) - min(i) + 200)::INT AS length FROM marked GROUP BY row_id, island"""
+P5_SHARES = P5_STARTS + """, gaps AS (SELECT row_id, lead(i) OVER (PARTITION BY row_id ORDER BY i) - i AS step FROM places),
+  n AS (SELECT row_id, sum(least(200, coalesce(step, 200)))::BIGINT AS shared_chars FROM gaps GROUP BY 1)
+  SELECT row_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0 END AS share FROM chunked_database LEFT JOIN n USING (row_id)"""
+P5_CLUSTERS = P5_STARTS.replace("WITH rows", "WITH RECURSIVE rows") + """, links AS MATERIALIZED (SELECT DISTINCT row_id AS a, least AS b FROM starts WHERE row_id <> least),
+  both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT a AS row_id, a AS other FROM both_ways UNION SELECT r.row_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+  SELECT row_id, min(other) AS cluster_id, row_id = min(other) AS kept FROM reach GROUP BY row_id"""
+
 P8 = r"""
   WITH t AS (SELECT source, sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')))::DOUBLE AS n FROM documents WHERE source IN (SELECT source FROM source_targets) GROUP BY 1)
   SELECT s.source FROM source_targets s LEFT JOIN t USING (source) WHERE s.max_repeats * coalesce(t.n, 0) < s.target_share * (SELECT sum(n) FROM t)
 """
 
 
-def p6() -> str:
-    """Texts folded by one table and compared, without tries."""
+def p6_forms() -> str:
+    """Texts folded by one table, without tries: a table f (row_id, text, form)."""
     single, several, gone = {}, {}, []
     for code in range(0x80, 0x20000):
         c = chr(code)
@@ -69,7 +93,16 @@ def p6() -> str:
         x = f"replace({x}, {lit(c)}, {lit(into)})"
     x = f"nfc_normalize(translate({x}, {lit(''.join(single))}, {lit(''.join(single.values()))}))"
     x = rf"trim(regexp_replace({x}, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))"
-    return f"WITH f AS (SELECT row_id, text, {x} AS form FROM chunked_database WHERE text IS NOT NULL) SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM f a JOIN f b USING (form) WHERE form <> '' AND a.row_id < b.row_id AND a.text <> b.text"
+    return f"WITH f AS (SELECT row_id, text, {x} AS form FROM chunked_database WHERE text IS NOT NULL)"
+
+
+def p6() -> str:
+    """Pairs that read the same."""
+    return p6_forms() + " SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM f a JOIN f b USING (form) WHERE form <> '' AND a.row_id < b.row_id AND a.text <> b.text"
+
+
+P6_CLASSES = " , c AS (SELECT form, min(row_id) AS class_id, count(DISTINCT text) AS spellings, count(*) AS rows FROM f WHERE form <> '' GROUP BY 1) SELECT row_id, class_id, spellings, rows FROM f JOIN c USING (form)"
+P6_TEXTS = " SELECT row_id, form AS canonical_text FROM f UNION ALL SELECT row_id, NULL FROM chunked_database WHERE text IS NULL"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,8 +110,14 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
         "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
         "p3_found": P3,
+        "p3_report": P3_REPORT,
         "p4_found": P4,
         "p5_found": P5,
+        "p5_spans": P5_SPANS,
+        "p5_shares": P5_SHARES,
+        "p5_clusters": P5_CLUSTERS,
         "p6_found": p6(),
+        "p6_classes": p6_forms() + P6_CLASSES,
+        "p6_texts": p6_forms() + P6_TEXTS,
         "p8_found": P8,
     }
