@@ -439,3 +439,44 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in leak.leaks(a, b).collect()} == whole == {(i, i % 9) for i in range(18)}
     monkeypatch.setattr(leak, "BLOCK_WORDS", 50)
     assert {tuple(r) for r in leak.leaks(a, b).collect()} == whole
+
+
+def test_near_rows_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(40):
+        w = prose(int(rng.integers(20, 90)), rng).split()
+        for k in range(4):
+            v = list(w)
+            for p in rng.choice(len(v), int(rng.integers(0, 3)), replace=False):
+                v[p] = f"new{i}{k}"
+            rows.append((4 * i + k, "  ".join(v).upper() if k == 1 else " ".join(v)))
+    rows += [(900, None), (901, " "), (902, "two words"), (903, "Two  words"), (904, "two words more"), (0, rows[0][1])]
+
+    def runs(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    texts = {" ".join(t.lower().split()): runs(t) for _, t in rows if t and t.strip()}
+    links = {a: {b for b in texts if b != a and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])} for a in texts}
+    low = {}
+    for k, t in rows:
+        if t and t.strip():
+            low[" ".join(t.lower().split())] = min(k, low.get(" ".join(t.lower().split()), k))
+    cluster = dict(low)
+    for _ in range(10):
+        for a in texts:
+            for b in links[a]:
+                cluster[a] = cluster[b] = min(cluster[a], cluster[b])
+    want = sorted((k, cluster[" ".join(t.lower().split())], len(links[" ".join(t.lower().split())])) for k, t in rows if t and t.strip())
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    assert sum(n > 0 for *_, n in want) > 60
+    assert sorted(tuple(r) for r in spans.near_rows(df).collect()) == want
+    monkeypatch.setattr(spans, "HOT", 2)
+    assert sorted(tuple(r) for r in spans.near_rows(df).collect()) == want
+    assert spans.near_rows(df.limit(0)).count() == 0
+
+
+def test_bands_meet_at_the_threshold():
+    # recall as tuned: bands of four for 0.8
+    assert leak.bands_for(0.8**4, 0.9999) == 18

@@ -98,6 +98,11 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     return spans.removal_clusters(table(spark, root, "chunked_database"))
 
 
+def p5_near(spark: SparkSession, root: str) -> DataFrame:
+    """Rows joined by texts that are nearly equal as a whole."""
+    return spans.near_rows(table(spark, root, "chunked_database"))
+
+
 def p6_texts(spark: SparkSession, root: str) -> DataFrame:
     """Every chunk text in its common form."""
     return lookalike.one_form(table(spark, root, "chunked_database")).select("row_id", "canonical_text")

@@ -1,8 +1,10 @@
 """Problem 5: long passages that stand word for word in several records.
 
-Texts are cut into content-anchored paragraphs, paragraphs meet by banded
-MinHash, and candidates are verified on the stored characters.  What is
-removed is clustered by connected components.
+Texts are cut into content-anchored paragraphs that meet by MinHash; equal ones
+are sought, so one band meets them all, and runs are verified on the stored
+characters.  Texts that are nearly equal as a whole meet by bands tuned for high
+recall and are verified by exact Jaccard similarity.  What is removed is
+clustered by connected components.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import map_arrow, only, stored
+from ..session import attach, map_arrow, only, stored
 from .common import require
 from .graph import components
 from .leak import bands_for
-from .overlap import paper_number
+from .overlap import WordHashes, paper_number
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 GRAM = 8
+#: Different texts of one band that are compared in one place; more are spread over several.
+HOT = 20_000
 #: Characters handled at once in a worker.
 AT_ONCE = 4_000_000
 
@@ -111,10 +115,8 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), ends - size, ends
 
 
-def paragraphs(rows: DataFrame, text: str, run: int, paragraph: int, similarity: float, recall: float, per_band: int = 4) -> DataFrame:
-    """(_k, _paper, band, pos) of each anchored paragraph of the texts long enough to hold a run."""
-    # equal paragraphs are sought: at similarity 1 a single band meets all of them
-    bands = 1 if similarity >= 1 else bands_for(similarity**per_band, recall)
+def paragraphs(rows: DataFrame, run: int, paragraph: int, per_band: int = 4) -> DataFrame:
+    """(_k, _paper, band, pos) of each anchored paragraph of the texts long enough to hold a run; equal paragraphs have one band."""
     schema = T.StructType([rows.schema["_k"], rows.schema["_paper"], *T.StructType.fromDDL("band long, pos int").fields])
 
     def cut(batches):
@@ -128,10 +130,10 @@ def paragraphs(rows: DataFrame, text: str, run: int, paragraph: int, similarity:
                 codes, starts, ends = s.joined(texts[a:b])
                 hashes = s.gram_hashes(codes)
                 at = s.anchors(hashes, starts, ends, run, paragraph)
-                keys = s.paragraph_keys(hashes, at, paragraph, per_band, bands)
+                keys = s.paragraph_keys(hashes, at, paragraph, per_band, 1)
                 doc = np.searchsorted(ends, at, side="right")
-                who = pa.array(np.repeat(doc + a, bands))
-                pos = np.repeat((at - starts[doc]).astype(np.int32), bands)
+                who = pa.array(doc + a)
+                pos = (at - starts[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys.ravel().view(np.int64)), pa.array(pos)], names=schema.names)
 
     return map_arrow(rows.select("_k", "_paper", "_text"), cut, schema)
@@ -180,7 +182,7 @@ def shared_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id",
     Pairs are all listed here; for counts without pairs see ``shared_spans``.
     """
     base = prepare(rows, key, ident, text, run)
-    parts = stored(paragraphs(base, "_text", run, run // 2, 1.0, 0.999))
+    parts = stored(paragraphs(base, run, run // 2))
     some = meeting(parts)
     left = some.select("band", F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"))
     right = some.select("band", F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"))
@@ -235,7 +237,7 @@ def shared_runs(rows: DataFrame, key: str, ident: str, text: str, run: int) -> D
     and of those only the runs that hold such a paragraph.
     """
     base = prepare(rows, key, ident, text, run)
-    some = meeting(stored(paragraphs(base, "_text", run, run // 2, 1.0, 0.999)))
+    some = meeting(stored(paragraphs(base, run, run // 2)))
     hits = some.groupBy("_k").agg(F.collect_set("pos").alias("_at"))
     source = only(base, some.select("_k").distinct(), "_k").join(hits, "_k").select("_k", "_paper", "_text", "_at")
     schema = T.StructType([base.schema["_k"], base.schema["_paper"], *T.StructType.fromDDL("pos int, h long").fields])
@@ -287,3 +289,95 @@ def removal_clusters(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_i
     """
     links = shared_runs(rows, key, ident, text, run).select(F.col("_k").alias("a"), F.col("_first").alias("b")).where("a <> b").distinct()
     return components(links).select(F.col("node").alias(key), F.col("component").alias("cluster_id"), (F.col("node") == F.col("component")).alias("kept"))
+
+
+def shingle_sets(texts: list[str | None], known: WordHashes, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words of all texts, each text's sorted and once, and how many each has.
+
+    Words are lower-cased and divided by white space; a text with fewer words
+    than ``width`` is one run.
+    """
+    words = [[known[w] for w in t.lower().split()] if t else [] for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    flat = np.array([h for w in words for h in w] + [0] * width, np.uint64)
+    n = np.where(size > 0, np.maximum(1, size - width + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(size) - size, n)
+    reach = np.minimum(width, size)[owner]
+    code = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        code = np.where(j < reach, mix(code * ODD + flat[at + j] + np.uint64(1)), code)
+    order = np.lexsort((code, owner))
+    code, owner = code[order], owner[order]
+    first = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, bool)
+    return code[first], np.bincount(owner[first], minlength=len(texts))
+
+
+def near_rows(rows: DataFrame, key: str = "row_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999, per_band: int = 4, seed: int = 5) -> DataFrame:
+    """(key, cluster_id, links) of every row with a text: rows joined by nearly equal texts, and to how many other texts each is linked.
+
+    Two texts are linked if their sets of five-word runs have ``similarity`` in
+    common, exactly compared; a pair at just that similarity is met with
+    probability ``recall``, the number of bands follows from it.  Equal texts
+    (but for case and white space) are one text; a text with no link is a
+    cluster of its own, named by its smallest key.  Null and blank texts have no
+    row; repeated rows give one each.
+
+    Texts of a band are compared where they meet, by the bits of their sketches,
+    which drops no linked pair, so only pairs that may be linked are moved; a
+    band of more than HOT texts is compared in several places.
+    """
+    require(rows, key, text)
+    plain = F.lower(F.trim(F.regexp_replace(F.col(text), r"(?U)[\s\x1c-\x1f]+", " ")))
+    named = rows.where(plain != "").select(F.col(key).alias("_k"), F.xxhash64(plain).alias("_c"), F.monotonically_increasing_id().alias("_i"), F.col(text).alias("_x"))
+    members = named.groupBy("_c").agg(F.min("_k").alias("_low"))
+    # of equal texts the first row stands for all; most stand alone and are not moved
+    copies = named.groupBy("_c").agg(F.min("_i").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    single = attach(named, copies, "_c", "left").where("_rep IS NULL OR _i = _rep").select("_c", "_x")
+    bands = bands_for(similarity**per_band, recall)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        from textweft.llm import spans as s
+
+        known = s.WordHashes()
+        rng = np.random.default_rng(seed)
+        salts = rng.integers(1, 1 << 63, (bands, per_band)).astype(np.uint64) | np.uint64(1)
+        for batch in batches:
+            codes, n = s.shingle_sets(batch.column(1).to_pylist(), known)
+            if not len(codes):
+                continue
+            starts = np.cumsum(n) - n
+            keys = np.zeros((len(n), bands), np.uint64)
+            for b in range(bands):
+                for salt in salts[b]:
+                    keys[:, b] = s.mix(keys[:, b] * s.ODD + np.minimum.reduceat(s.mix(codes * salt), starts) + np.uint64(b))
+            bit, second = np.uint64(1) << (codes & np.uint64(63)), (codes & np.uint64(64)) > 0
+            sketch = [np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (~second, second)]
+            ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
+            edges = pa.array((np.arange(len(n) + 1) * bands).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.view(np.int64))), pa.array(n.astype(np.int32)), *[pa.array(x) for x in sketch], pa.ListArray.from_arrays(edges, pa.array(keys.ravel().view(np.int64)))], names=["_c", "runs", "n", "s1", "s2", "bands"])
+
+    texts = stored(map_arrow(single, cut, "_c long, runs array<bigint>, n int, s1 bigint, s2 bigint, bands array<bigint>"))
+    banded = texts.select("_c", "n", "s1", "s2", F.explode("bands").alias("_b"))
+    sizes = banded.groupBy("_b").agg(F.count("*").alias("_t")).where("_t > 1").select("_b", F.ceil(F.col("_t") / HOT).cast("int").alias("_places"))
+    met = stored(attach(banded, sizes, "_b"))
+    side = lambda n: [F.col(c).alias(n + c) for c in ("_c", "n", "s1", "s2")]
+    a = met.select("_b", F.pmod(F.hash("_c"), "_places").alias("_place"), *side("a"))
+    b = met.select("_b", F.explode(F.sequence(F.lit(0), F.col("_places") - 1)).alias("_place"), *side("b"))
+    # similar sets differ in few runs, so in few bits of their sketches, and are of like size
+    most = (F.col("an") + F.col("bn")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    differ = F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) + F.bit_count(F.col("as2").bitwiseXOR(F.col("bs2")))
+    near = (F.col("a_c") < F.col("b_c")) & (differ <= most) & (F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(similarity - 1e-9))
+    pairs = stored(a.join(b, ["_b", "_place"]).where(near).select("a_c", "b_c").distinct())
+    some = only(texts.select("_c", "runs"), pairs.select(F.col("a_c").alias("_c")).union(pairs.select("b_c")).distinct(), "_c")
+    both = pairs.join(some.select(F.col("_c").alias("a_c"), F.col("runs").alias("_ra")), "a_c").join(some.select(F.col("_c").alias("b_c"), F.col("runs").alias("_rb")), "b_c")
+    common = F.size(F.array_intersect("_ra", "_rb"))
+    linked = stored(both.where(common >= F.lit(similarity - 1e-9) * (F.size("_ra") + F.size("_rb") - common)).select("a_c", "b_c"))
+    links = linked.select(F.col("a_c").alias("_c")).union(linked.select("b_c")).groupBy("_c").agg(F.count("*").alias("links"))
+    # clusters are named by their smallest key, so components run over those
+    ends = linked.join(members.select(F.col("_c").alias("a_c"), F.col("_low").alias("a")), "a_c").join(members.select(F.col("_c").alias("b_c"), F.col("_low").alias("b")), "b_c").select("a", "b")
+    found = components(ends)
+    out = named.select("_k", "_c").join(members, "_c").join(links, "_c", "left").join(found.select(F.col("node").alias("_low"), "component"), "_low", "left")
+    return out.select(F.col("_k").alias(key), F.coalesce("component", "_low").alias("cluster_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -65,6 +65,20 @@ P5_CLUSTERS = P5_STARTS.replace("WITH rows", "WITH RECURSIVE rows") + """, links
   reach AS (SELECT a AS row_id, a AS other FROM both_ways UNION SELECT r.row_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
   SELECT row_id, min(other) AS cluster_id, row_id = min(other) AS kept FROM reach GROUP BY row_id"""
 
+P5_NEAR = r"""
+  WITH RECURSIVE named AS (SELECT row_id, lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) AS t FROM chunked_database WHERE text IS NOT NULL),
+  texts AS MATERIALIZED (SELECT t, min(row_id) AS low, string_split(t, ' ') AS w FROM named WHERE t <> '' GROUP BY t),
+  runs AS MATERIALIZED (SELECT DISTINCT low, unnest(CASE WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS r FROM texts),
+  n AS (SELECT low, count(*) AS n FROM runs GROUP BY 1),
+  meet AS (SELECT a.low AS a, b.low AS b, count(*) AS c FROM runs a JOIN runs b ON a.r = b.r AND a.low < b.low GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a, b FROM meet JOIN n x ON x.low = a JOIN n y ON y.low = b WHERE c >= 0.8 * (x.n + y.n - c)),
+  ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT low, low AS other FROM texts UNION SELECT r.low, e.b FROM reach r JOIN ways e ON e.a = r.other),
+  clusters AS (SELECT low, min(other) AS cluster_id FROM reach GROUP BY 1),
+  m AS (SELECT a AS low, count(*) AS links FROM ways GROUP BY 1)
+  SELECT row_id, cluster_id, coalesce(links, 0) AS links FROM named JOIN texts USING (t) JOIN clusters USING (low) LEFT JOIN m USING (low)
+"""
+
 P8 = r"""
   WITH t AS (SELECT source, sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')))::DOUBLE AS n FROM documents WHERE source IN (SELECT source FROM source_targets) GROUP BY 1)
   SELECT s.source FROM source_targets s LEFT JOIN t USING (source) WHERE s.max_repeats * coalesce(t.n, 0) < s.target_share * (SELECT sum(n) FROM t)
@@ -116,6 +130,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_spans": P5_SPANS,
         "p5_shares": P5_SHARES,
         "p5_clusters": P5_CLUSTERS,
+        "p5_near": P5_NEAR,
         "p6_found": p6(),
         "p6_classes": p6_forms() + P6_CLASSES,
         "p6_texts": p6_forms() + P6_TEXTS,
