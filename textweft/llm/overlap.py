@@ -181,9 +181,10 @@ def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "a
 
     plain = F.regexp_replace(F.lower(F.col("_x")), "[^a-z0-9]+", " ")
     keyed = sides.where("_x IS NOT NULL").select("_k", "_side", F.xxhash64(F.trim(plain)).alias("_c"), F.monotonically_increasing_id().alias("_i"), "_x")
-    members = keyed.select("_k", "_side", "_c")
+    # without the texts, so that these are read twice only
+    members = stored(keyed.select("_k", "_side", "_c", "_i"))
     # of equal texts the first row stands for all; most texts stand alone and are not moved
-    copies = keyed.groupBy("_c").agg(F.min("_i").alias("_rep"), F.min("_side").alias("_l"), F.max("_side").alias("_h"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = members.groupBy("_c").agg(F.min("_i").alias("_rep"), F.min("_side").alias("_l"), F.max("_side").alias("_h"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     classes = attach(keyed, copies, "_c", "left").where("_rep IS NULL OR _i = _rep").select("_c", F.coalesce("_l", "_side").alias("_low"), F.coalesce("_h", "_side").alias("_high"), "_x")
     cut = stored(record_chunks(classes, ["_c", "_low", "_high"], "_x"))
 
