@@ -102,3 +102,14 @@ def test_filedrop_adds_a_document_once(spark, tmp_path):
 def test_schemas_parse(spark):
     for ddl in (schemas.PAPER, schemas.CHUNK, schemas.VECTOR, schemas.USERS, schemas.UPLOADS, schemas.REPORTS):
         assert spark.createDataFrame([], ddl).count() == 0
+
+
+def test_relational_tables(spark):
+    address = "jdbc:derby:memory:weft;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "id long, name string")
+    jdbc.append_table(rows, address, "things", partitions=2)
+    jdbc.append_table(rows.selectExpr("id + 40 AS id", "name"), address, "things")
+    got = jdbc.read_table(spark, address, "things", "id", 0, 80, partitions=4)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 80
+    plan = got.where("id = 7").select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(id), *EqualTo(id,7)]" in plan and got.where("id = 7").count() == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import contact
 from ..functions import text as tx
 from ..functions import vector as vec
@@ -323,8 +324,6 @@ def report_insert_valid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def report_fields(spark: SparkSession, root: str) -> DataFrame:
-    from .. import schemas
-
     r = table(spark, root, "plagiarism_reports").withColumn("d", F.from_json("report_data", schemas.REPORT_DATA))
     return r.select("id", F.col("d.document_stats.total_words").alias("total_words"), F.col("d.total_flagged_chunks").alias("flagged"), F.coalesce(F.size("d.sources"), F.lit(0)).cast("long").alias("sources"), F.col("d.error").alias("error"))
 
@@ -346,6 +345,12 @@ def accounts_after_merge(spark: SparkSession, root: str) -> DataFrame:
     return registry.merge_accounts(table(spark, root, "users"), _profiles(spark, root)).select("id", "email", "google_id", "is_deleted")
 
 
+def schema_upgrade(spark: SparkSession, root: str) -> DataFrame:
+    """Users of the first schema, without outside accounts and with an integer id, in the present one."""
+    first = table(spark, root, "users").select(F.col("id").cast("int").alias("id"), "first_name", "last_name", "email", "hashed_password", "created_at", "is_deleted", "deleted_at", F.lit(1).alias("legacy"))
+    return schemas.upgrade(first, schemas.USERS)
+
+
 def user_insert(spark: SparkSession, root: str) -> DataFrame:
     """All users sign up again, every other one with a new address."""
     users = table(spark, root, "users")

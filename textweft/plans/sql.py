@@ -198,6 +198,7 @@ def statements() -> dict[str, str]:
         "chunk_texts": "SELECT md5(text) AS digest, count(*) AS n FROM chunked_database WHERE text IS NOT NULL GROUP BY 1",
         "paged_scan": "SELECT 'a' AS category, unnest(range(7))::INT AS i UNION ALL SELECT 'd', unnest(range(10))::INT",
         "source_urls": "SELECT record_id, 'https://papers.example/source/' || trim(arxiv_id) AS url, replace(url_encode(title), '%20', '+') AS quoted FROM papers",
+        "schema_upgrade": "SELECT id, first_name, last_name, email, hashed_password, NULL::VARCHAR AS google_id, created_at, is_deleted, deleted_at FROM users",
         "user_insert": """WITH new AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN 'reg.' || trim(email) ELSE email END AS email FROM users), fresh AS (SELECT email FROM new WHERE email IS NOT NULL AND email NOT IN (SELECT email FROM users WHERE email IS NOT NULL))
             SELECT id, email, is_deleted FROM users UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY email), email, false FROM fresh""",
         "upload_insert": "SELECT id, user_id, filename, file_path, status, added_to_corpus FROM uploads UNION ALL SELECT (SELECT max(id) FROM uploads) + row_number() OVER (ORDER BY user_id NULLS FIRST, filename NULLS FIRST), user_id, 'again-' || filename, 'uploads/again-' || filename, 'PENDING', false FROM uploads",
