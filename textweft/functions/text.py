@@ -1,7 +1,7 @@
 """Text normalisation as column expressions: one token space for LaTeX, PDF and plain text.
 
-Every function maps a string column to a string column, stays inside
-whole-stage code generation and returns null for null.
+Every function maps a string column to a string column inside the JVM and
+returns null for null.
 """
 
 from __future__ import annotations
@@ -39,16 +39,23 @@ def in_turn(c: Column, steps: list[tuple[str, str]]) -> Column:
     """Replace the patterns one after the other.
 
     A fold over a constant array instead of a nest of calls: the expression
-    stays small however many steps there are.
+    stays small however many steps there are.  It is evaluated row by row and
+    not by generated code, and patterns are compiled anew for each row, so
+    callers keep rows away that no step would change.
     """
     table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in steps])
     return F.aggregate(table, c, lambda text, step: F.regexp_replace(text, step["p"], step["i"]))
 
 
+def where_any(c: Column, pattern: str, steps: list[tuple[str, str]]) -> Column:
+    """:func:`in_turn` where ``pattern``, which every text a step changes must match, is found; ``c`` is evaluated once."""
+    return F.element_at(F.transform(F.array(c), lambda v: F.when(v.rlike(pattern), in_turn(v, steps)).otherwise(v)), 1)
+
+
 #: Name by name: a command directly followed by the word of an earlier name is no command any more.
 GREEK_COMMANDS = [(rf"(?U)\\{name}\b", name.lower()) for name in GREEK_NAMES]
 GREEK_CHARACTERS = [(letter, name.lower()) for letter, name in zip(GREEK_LETTERS, GREEK_NAMES, strict=True)]
-#: One pass, innermost braces only.
+#: Fixed values, like those above: one pass, innermost braces only.
 MATHEMATICS = [
     (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "frac($1,$2)"),
     (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
@@ -58,7 +65,11 @@ MATHEMATICS = [
     *[(rf"(?U)\\{name}\b", word) for name, word in SYMBOLS.items()],
     *[(rf'\\"{plain}', dotted) for plain, dotted in UMLAUTS.items()],
 ]
-#: Commands that are left, and braces, brackets and dollar signs, become spaces.
+#: What a text must hold for any of the steps to change it.
+GREEK_COMMAND = r"\\(?:" + "|".join(GREEK_NAMES) + ")"
+GREEK_CHARACTER = "[" + GREEK_LETTERS + "]"
+MATHEMATICAL = r"\\(?:frac|sqrt|\"|" + "|".join([*(name for group in NAMED_OPERATORS for name in group), *SYMBOLS]) + r")|[_^]\{"
+#: Commands that are left, and braces, brackets and dollar signs, become spaces.
 LEFTOVERS = [(r"\\[a-zA-Z]+\*?(?U:[\s\x1c-\x1f])*", " "), (r"[{}\[\]$]", " ")]
 
 
@@ -68,9 +79,15 @@ def normalise(c: Column) -> Column:
     Texts without a backslash, a script brace or a Greek letter, which is most
     plain text, take two passes.
     """
-    markup = in_turn(c, [*GREEK_COMMANDS, *GREEK_CHARACTERS, *MATHEMATICS, *LEFTOVERS])
+    markup = where_any(c, GREEK_COMMAND, GREEK_COMMANDS)
+    markup = where_any(markup, GREEK_CHARACTER, GREEK_CHARACTERS)
+    markup = where_any(markup, MATHEMATICAL, MATHEMATICS)
+    for pattern, into in LEFTOVERS:
+        markup = F.regexp_replace(markup, pattern, into)
     greek = in_turn(c, [*GREEK_CHARACTERS, LEFTOVERS[1]])
-    out = F.when(c.rlike(r"\\|[_^]\{"), markup).when(c.rlike("[\u0391-\u03c9]"), greek).otherwise(F.regexp_replace(c, *LEFTOVERS[1]))
+    marked = F.contains(c, F.lit("\\")) | F.contains(c, F.lit("_{")) | F.contains(c, F.lit("^{"))
+    lettered = (F.length(c) < F.octet_length(c)) & c.rlike(GREEK_CHARACTER)
+    out = F.when(marked, markup).when(lettered, greek).otherwise(F.regexp_replace(c, *LEFTOVERS[1]))
     return collapse(F.lower(out))
 
 
