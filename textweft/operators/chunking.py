@@ -23,5 +23,8 @@ def chunks(rows: DataFrame, text: str, size: int = 100, overlap: int = 30, least
     Null and empty texts have no chunk.  A narrow transformation: no shuffle.
     """
     others = [c for c in rows.columns if c != text]
-    cut = rows.where(F.col(text).isNotNull()).select(*others, F.posexplode(word_windows(tokens(F.col(text)), size, overlap, least)).alias("chunk_id", "_w"))
+    # the words are a column of their own, so that a text is divided once and not once a window
+    # (no filter on nulls: they have no window, and a filter would compute the text twice, before any exchange)
+    words = rows.select(*others, tokens(F.col(text)).alias("_words"))
+    cut = words.select(*others, F.posexplode(word_windows(F.col("_words"), size, overlap, least)).alias("chunk_id", "_w"))
     return cut.select(*others, "chunk_id", F.array_join("_w", " ").alias("chunk_text"), F.size("_w").alias("n_words"))

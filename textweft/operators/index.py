@@ -19,7 +19,8 @@ def build_index(chunks: DataFrame, embedder: Embedder, unit: bool = True) -> Dat
     empty, a missing source type is "unknown".  ``unit`` stores vectors of length 1.
     """
     rows = chunks.select(F.coalesce("text", F.lit("")).alias("text"), "arxiv_id", "title", "chunk_id", F.coalesce("source_type", F.lit("unknown")).alias("source_type"))
-    return numbered(embed(rows, "text", embedder, unit=unit).drop("text"), "vec_id", ["arxiv_id", "chunk_id"]).select("vec_id", "embedding", *META)
+    # numbered first: the order is found by reading rows twice, and no text should be embedded twice
+    return embed(numbered(rows, "vec_id", ["arxiv_id", "chunk_id"]), "text", embedder, unit=unit).select("vec_id", "embedding", *META)
 
 
 def write_index(index: DataFrame, embedder: Embedder, path: str) -> None:

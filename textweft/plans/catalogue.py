@@ -104,9 +104,9 @@ def l2_normalize(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, c = _chunks(spark, root, "eval_items", "item_id"), _chunks(spark, root, "documents", "doc_id")
-    found = similarity.top_texts(q, c, k=5, least=THRESHOLD)
     # read several times below, so computed once
+    q, c = stored(_chunks(spark, root, "eval_items", "item_id")), stored(_chunks(spark, root, "documents", "doc_id"))
+    found = similarity.top_texts(q, c, k=5, least=THRESHOLD)
     return checkpoint(report.scored(found, THRESHOLD)), q, c
 
 
@@ -116,13 +116,13 @@ def sparse_cosine_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def near_duplicates_self(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root, "documents", "doc_id")
+    c = stored(_chunks(spark, root, "documents", "doc_id"))
     found = similarity.top_texts(c.where("doc % 50 = 0"), c, k=5, least=0.8)
     return found.select(F.col("q_doc").alias("doc_id"), "q_chunk", F.col("doc").alias("other_doc"), "chunk", F.round("cosine", 4).alias("score"))
 
 
 def near_duplicates_all(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root, "documents", "doc_id")
+    c = stored(_chunks(spark, root, "documents", "doc_id"))
     found = similarity.near_texts(c.where("doc % 50 = 0"), c, least=0.8)
     return found.select(F.col("q_doc").alias("doc_id"), "q_chunk", F.col("doc").alias("other_doc"), "chunk", F.round("cosine", 4).alias("score"))
 
