@@ -480,3 +480,12 @@ def test_near_rows_equal_brute_force(spark, monkeypatch):
 def test_bands_meet_at_the_threshold():
     # recall as tuned: bands of four for 0.8
     assert leak.bands_for(0.8**4, 0.9999) == 18
+
+
+def test_links_count_without_pairs(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(i, f"1.{i}", a, "train") for i in range(30)] + [(40, "1.40", a + " more", "train"), (50, "9.1", a, "val"), (51, "9.2v2", a, "test"), (52, "arXiv:1.3v9", b, "test"), (53, "9.4", b, "val"), (54, "1.5", None, "val"), (55, None, "..", "val"), (56, "1.5", a, None)]
+    df = spark.createDataFrame(rows, "record_id long, arxiv_id string, abstract string, split string")
+    got = {tuple(r) for r in overlap.overlap_links(df).collect()}
+    assert got == {(50, 50, 31, 0), (51, 50, 31, 0), (52, 52, 0, 1), (54, 54, 0, 1)}
+    assert overlap.overlap_links(df.limit(0)).count() == 0

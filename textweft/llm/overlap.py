@@ -153,32 +153,17 @@ def record_chunks(rows: DataFrame, keep: list[str], text: str, divisor: int = 2,
     return map_arrow(rows.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
-def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "arxiv_id", text: str = "abstract", split: str = "split", similarity: float = 0.7) -> DataFrame:
-    """Pairs of a train row and a val or test row that are one record.
-
-    Columns: train_id, eval_id, same_paper, overlap (shared chunk length as a
-    part of the shorter record, null if only the id matches), similarity (of the
-    word sets).  A pair is reported if the ids name one paper or the word sets
-    have ``similarity`` in common, whatever their overlap.
-
-    Candidates for the latter share a chunk.  What kind of edit parts two
-    records makes no difference to that, only how many words differ: of pairs
-    at just 0.7, 99.7 % share one, of those at 0.75 all in 10,000 trials.
-    Records of at most SHORT words are met by the words that all similar sets
-    must share, the rarest, and miss none.
+def similar_classes(rows: DataFrame, key: str, ident: str, text: str, split: str, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`cross_split_overlap` and :func:`overlap_links` are made of.
 
-    Equal texts of one side are one class until the end, so a hot text is
-    compared once.  Matches of a digest are held against sizes and sketches
-    where they are made, which drops no similar pair, so few are moved; a digest
-    of more than HOT train classes is compared in several places.  Nulls and
-    blanks in ``text`` have no words, in ``ident`` no paper, in ``split`` no side.
+    (_k, _paper, _side) of rows with a paper; (_k, _side, _c) of rows with a
+    text, _c naming equal texts; and (_a, _b, overlap, similarity) of classes of
+    train and held-out rows that are similar or the same.
     """
     require(rows, key, ident, text, split)
     sides = rows.select(F.col(key).alias("_k"), paper_number(F.col(ident)).alias("_paper"), F.when(F.col(split) == "train", 0).when(F.col(split).isin("val", "test"), 1).alias("_side"), F.col(text).alias("_x")).where("_side IS NOT NULL")
 
     ids = sides.where("_paper IS NOT NULL").select("_k", "_paper", "_side")
-    by_id = ids.where("_side = 0").select("_paper", F.col("_k").alias("train_id")).join(ids.where("_side = 1").select("_paper", F.col("_k").alias("eval_id")), "_paper").select("train_id", "eval_id", F.lit(True).alias("same_paper"))
-
     plain = F.regexp_replace(F.lower(F.col("_x")), "[^a-z0-9]+", " ")
     keyed = sides.where("_x IS NOT NULL").select("_k", "_side", F.xxhash64(F.trim(plain)).alias("_c"), F.monotonically_increasing_id().alias("_i"), "_x")
     # without the texts, so that these are read twice only
@@ -220,13 +205,57 @@ def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "a
         .select("_a", "_b", "overlap", "similarity")
     )
     same = cut.where("_low = 0 AND _high = 1").select(F.col("_c").alias("_a"), F.col("_c").alias("_b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("similarity"))
+    return ids, members, pairs.unionByName(same)
+
+
+def cross_split_overlap(rows: DataFrame, key: str = "record_id", ident: str = "arxiv_id", text: str = "abstract", split: str = "split", similarity: float = 0.7) -> DataFrame:
+    """Pairs of a train row and a val or test row that are one record.
+
+    Columns: train_id, eval_id, same_paper, overlap (shared chunk length as a
+    part of the shorter record, null if only the id matches), similarity (of the
+    word sets).  A pair is reported if the ids name one paper or the word sets
+    have ``similarity`` in common, whatever their overlap.
+
+    Candidates for the latter share a chunk.  What kind of edit parts two
+    records makes no difference to that, only how many words differ: of pairs
+    at just 0.7, 99.8 % share one, of those at 0.75 10,199 of 10,200 tried.
+    Records of at most SHORT words are met by the words that all similar sets
+    must share, the rarest, and miss none.
+
+    Equal texts of one side are one class until the end, so a hot text is
+    compared once.  Matches of a digest are held against sizes and sketches
+    where they are made, which drops no similar pair, so few are moved; a digest
+    of more than HOT train classes is compared in several places.  Nulls and
+    blanks in ``text`` have no words, in ``ident`` no paper, in ``split`` no side.
+    """
+    ids, members, pairs = similar_classes(rows, key, ident, text, split, similarity)
+    by_id = ids.where("_side = 0").select("_paper", F.col("_k").alias("train_id")).join(ids.where("_side = 1").select("_paper", F.col("_k").alias("eval_id")), "_paper").select("train_id", "eval_id", F.lit(True).alias("same_paper"))
     train = members.where("_side = 0").select(F.col("_c").alias("_a"), F.col("_k").alias("train_id"))
     held = members.where("_side = 1").select(F.col("_c").alias("_b"), F.col("_k").alias("eval_id"))
-    by_text = pairs.unionByName(same).join(train, "_a").join(held, "_b").select("train_id", "eval_id", "overlap", "similarity")
-
+    by_text = pairs.join(train, "_a").join(held, "_b").select("train_id", "eval_id", "overlap", "similarity")
     return by_text.join(by_id, ["train_id", "eval_id"], "full").select("train_id", "eval_id", F.coalesce("same_paper", F.lit(False)).alias("same_paper"), "overlap", "similarity").distinct()
 
 
+def overlap_links(rows: DataFrame, key: str = "record_id", ident: str = "arxiv_id", text: str = "abstract", split: str = "split", similarity: float = 0.7) -> DataFrame:
+    """(key, class_id, text_links, paper_links) of every held-out row that overlaps with train, without forming pairs.
+
+    class_id: the smallest key of the held-out rows with an equal text (the
+    row's own without a text).  text_links: train rows whose text is the same or
+    similar, each counted as often as it is there; paper_links: train rows of
+    the same paper.  Copies are counted by class, so a text in a third of all
+    rows costs no more than another.
+    """
+    ids, members, pairs = similar_classes(rows, key, ident, text, split, similarity)
+    copies = members.where("_side = 0").groupBy(F.col("_c").alias("_a")).agg(F.count("*").alias("_n"))
+    by_class = pairs.join(copies, "_a").groupBy(F.col("_b").alias("_c")).agg(F.sum("_n").alias("text_links"))
+    held = members.where("_side = 1")
+    named = held.join(held.groupBy("_c").agg(F.min("_k").alias("class_id")), "_c").join(by_class, "_c", "left").select("_k", "class_id", "text_links")
+    papers = ids.where("_side = 0").groupBy("_paper").agg(F.count("*").alias("paper_links"))
+    by_paper = ids.where("_side = 1").join(papers, "_paper").select("_k", "paper_links")
+    both = named.join(by_paper, "_k", "full").where("text_links IS NOT NULL OR paper_links IS NOT NULL")
+    return both.select(F.col("_k").alias(key), F.coalesce("class_id", "_k").alias("class_id"), F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("paper_links", F.lit(0)).alias("paper_links")).distinct()
+
+
 def overlap_report(pairs: DataFrame, rows: DataFrame, key: str = "record_id", split: str = "split", feed: str = "feed") -> DataFrame:
     """Per split and feed: rows, rows of it that also stand in train, and pairs."""
     hits = pairs.groupBy(F.col("eval_id").alias(key)).agg(F.count("*").alias("_pairs"))

@@ -58,6 +58,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_pairs(spark, root).select(F.least("train_id", "eval_id").alias("record_id_a"), F.greatest("train_id", "eval_id").alias("record_id_b")).distinct()
 
 
+def p3_links(spark: SparkSession, root: str) -> DataFrame:
+    """Held-out papers with the number of train rows they overlap with."""
+    return overlap.overlap_links(table(spark, root, "papers"))
+
+
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
     """Counts per split and feed."""
     return overlap.overlap_report(p3_pairs(spark, root), table(spark, root, "papers"))

@@ -22,7 +22,7 @@ from .overlap import WordHashes, paper_number
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 GRAM = 8
-#: Different texts of one band that are compared in one place; more are spread over several.
+#: Paragraphs or different texts of one band that are compared in one place; more are spread over several.
 HOT = 20_000
 #: Characters handled at once in a worker.
 AT_ONCE = 4_000_000
@@ -145,9 +145,9 @@ def prepare(rows: DataFrame, key: str, ident: str, text: str, run: int) -> DataF
 
 
 def meeting(parts: DataFrame) -> DataFrame:
-    """Paragraphs whose band key occurs in more than one paper."""
-    shared = parts.groupBy("band").agg(F.min("_paper").alias("_low"), F.max("_paper").alias("_high")).where("_low <> _high").select("band")
-    return only(parts, shared, "band")
+    """Paragraphs whose band key occurs in more than one paper, with the number of places to compare them in."""
+    shared = parts.groupBy("band").agg(F.min("_paper").alias("_low"), F.max("_paper").alias("_high"), F.count("*").alias("_n")).where("_low <> _high")
+    return attach(parts, shared.select("band", F.ceil(F.col("_n") / HOT).cast("int").alias("_places")), "band")
 
 
 def common_run(a: str, b: str, i: int, j: int) -> tuple[int, int]:
@@ -184,10 +184,10 @@ def shared_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id",
     base = prepare(rows, key, ident, text, run)
     parts = stored(paragraphs(base, run, run // 2))
     some = meeting(parts)
-    left = some.select("band", F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"))
-    right = some.select("band", F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"))
+    left = some.select("band", F.pmod(F.hash("_k"), "_places").alias("_place"), F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"))
+    right = some.select("band", F.explode(F.sequence(F.lit(0), F.col("_places") - 1)).alias("_place"), F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"))
     # one row for each pair and shift: all anchors of one run lie on one diagonal
-    met = stored(left.join(right, "band").where("a < b AND pa <> pb").groupBy("a", "b", (F.col("x") - F.col("y")).alias("shift")).agg(F.sort_array(F.collect_set("x")).alias("xs")))
+    met = stored(left.join(right, ["band", "_place"]).where("a < b AND pa <> pb").groupBy("a", "b", (F.col("x") - F.col("y")).alias("shift")).agg(F.sort_array(F.collect_set("x")).alias("xs")))
     # most rows share nothing: their texts stay where they are
     named = met.select(F.col("a").alias("_k")).union(met.select("b")).distinct()
     base = only(base.select("_k", "_text"), named, "_k")

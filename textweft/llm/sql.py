@@ -33,6 +33,16 @@ P3_REPORT = f"""
   SELECT split, feed, count(*) AS rows, count(pairs) AS overlapping_rows, coalesce(sum(pairs), 0)::BIGINT AS pairs FROM held LEFT JOIN n USING (record_id) GROUP BY ALL
 """
 
+P3_LINKS = r"""
+  WITH rows AS (SELECT record_id, CASE WHEN split = 'train' THEN 0 WHEN split IN ('val', 'test') THEN 1 END AS side, nullif(regexp_extract(lower(arxiv_id), '([0-9]+\.[0-9]+)(?:v[0-9]+)?[^0-9a-z]*$', 1), '') AS paper,
+      trim(regexp_replace(lower(abstract), '[^a-z0-9]+', ' ', 'g')) AS form, list_distinct(regexp_extract_all(lower(abstract), '[a-z0-9]+')) AS words FROM papers),
+  a AS (SELECT * FROM rows WHERE side = 0), b AS (SELECT * FROM rows WHERE side = 1),
+  t AS (SELECT y, count(*) AS text_links FROM (SELECT b.record_id AS y, len(a.words) AS n, len(b.words) AS m, len(list_intersect(a.words, b.words)) AS i FROM a JOIN b ON len(a.words) > 0 AND least(len(a.words), len(b.words)) >= 0.7 * greatest(len(a.words), len(b.words))) WHERE i >= 0.7 * (n + m - i) GROUP BY 1),
+  p AS (SELECT b.record_id AS y, count(*) AS paper_links FROM a JOIN b ON a.paper = b.paper GROUP BY 1),
+  c AS (SELECT form, min(record_id) AS class_id FROM b WHERE form IS NOT NULL GROUP BY 1)
+  SELECT record_id, coalesce(class_id, record_id) AS class_id, coalesce(text_links, 0) AS text_links, coalesce(paper_links, 0) AS paper_links FROM b LEFT JOIN c USING (form) LEFT JOIN t ON t.y = record_id LEFT JOIN p ON p.y = record_id WHERE text_links IS NOT NULL OR paper_links IS NOT NULL
+"""
+
 P4 = """
   WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM faiss_metadata WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
   s AS (SELECT a.vec_id AS q, b.vec_id AS n, round(array_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
@@ -124,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
         "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
         "p3_found": P3,
+        "p3_links": P3_LINKS,
         "p3_report": P3_REPORT,
         "p4_found": P4,
         "p5_found": P5,
