@@ -54,13 +54,13 @@ def balance(rows: DataFrame, label: str, key: str, most: int, least: int, seed:
     return rows.join(big, label, "left_semi").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42, bins: int = 256) -> DataFrame:
+def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Add split: of each label floor(n * train) rows train, floor(n * val) val, the rest test.
 
-    The position in the seeded order comes from counts by hash range plus the
-    position inside one range, so no label is ordered in one task.
+    The position in the seeded order comes from counts by 65,536 hash ranges plus
+    the position inside one range, so no label is ordered in one task.
     """
-    marked = rows.withColumn("_h", seeded(seed, key)).withColumn("_bin", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % bins)
+    marked = rows.withColumn("_h", seeded(seed, key)).withColumn("_bin", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     sums = marked.groupBy(label, "_bin").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(label)))

@@ -143,4 +143,4 @@ def spread(rows: DataFrame) -> DataFrame:
     that already have a partition for each core stay as they are, unshuffled.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
