@@ -33,6 +33,13 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return _p1(spark, root).report
 
 
+def p1_size(spark: SparkSession, root: str) -> DataFrame:
+    """Rows and different rows of the sample, and those of them without a category of the targets."""
+    known = table(spark, root, "category_targets").select(F.col("top_name").alias("category"), F.lit(1).alias("_known"))
+    rows = p1_sample(spark, root).join(F.broadcast(known), "category", "left")
+    return rows.agg(F.count("*").alias("sampled"), F.countDistinct("record_id").alias("different"), F.sum(F.col("_known").isNull().cast("long")).alias("strangers"))
+
+
 def p1_margins(spark: SparkSession, root: str) -> DataFrame:
     """Shares of every margin in the pool and the sample, with the gaps."""
     return _p1(spark, root).margins
@@ -48,6 +55,17 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).where("n_pieces > 1 AND piece_no = 0").select("row_id")
 
 
+def p2_rejoined(spark: SparkSession, root: str) -> DataFrame:
+    """Every cut text put together again from its pieces, and whether all pieces fit and overlap as they should."""
+    p = p2_pieces(spark, root)
+    parts = p.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "piece_text"))).alias("_p"), F.max(F.length("piece_text")).alias("_longest"))
+    # from each piece what the one before it does not have
+    ends = F.transform("_p", lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("_p"), i)["piece_end"] - x["piece_start"]))
+    whole = F.array_join(F.zip_with("_p", "_e", lambda x, e: F.substring(x["piece_text"], e.cast("int") + 1, F.length(x["piece_text"]))), "")
+    inside = F.forall(F.slice("_e", 2, F.size("_e")), lambda e: (e >= 160) & (e <= 240))
+    return parts.withColumn("_e", ends).select("row_id", F.md5(whole).alias("digest"), (F.col("_longest") <= 1200).alias("fits"), inside.alias("overlaps"))
+
+
 def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Train rows and val or test rows that are one record."""
     return overlap.cross_split_overlap(table(spark, root, "papers"))
@@ -77,6 +95,12 @@ def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return found.join(other, "neighbour")
 
 
+def p4_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Neighbours and different neighbours of every vector, and how often it is its own."""
+    n = knn.nearest(table(spark, root, "faiss_metadata"))
+    return n.groupBy("vec_id").agg(F.count("*").alias("neighbours"), F.countDistinct("neighbour").alias("different"), F.sum((F.col("vec_id") == F.col("neighbour")).cast("long")).alias("own"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs among each other's 5 most similar, with a cosine of at least 0.85."""
     found = knn.nearest(table(spark, root, "faiss_metadata"), least=0.85)

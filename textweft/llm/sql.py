@@ -132,10 +132,13 @@ P6_TEXTS = " SELECT row_id, form AS canonical_text FROM f UNION ALL SELECT row_i
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
+        "p1_size": P1_POOL + "SELECT m AS sampled, m AS different, 0 AS strangers FROM size",
+        "p2_rejoined": "SELECT row_id, md5(text) AS digest, true AS fits, true AS overlaps FROM chunked_database WHERE length(text) > 1200",
         "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
         "p3_found": P3,
         "p3_links": P3_LINKS,
         "p3_report": P3_REPORT,
+        "p4_counts": "WITH v AS (SELECT vec_id FROM faiss_metadata WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT vec_id, least(5, (SELECT count(*) FROM v) - 1) AS neighbours, least(5, (SELECT count(*) FROM v) - 1) AS different, 0 AS own FROM v",
         "p4_found": P4,
         "p5_found": P5,
         "p5_spans": P5_SPANS,
