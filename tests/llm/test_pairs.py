@@ -218,6 +218,28 @@ def test_nearest_of_nothing_and_one(spark):
     assert knn.nearest(vectors(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0])]), width=2).select("vec_id", "neighbour").collect() in ([(1, 2), (2, 1)], [(2, 1), (1, 2)])
 
 
+def test_rows_without_a_key_are_no_neighbours(spark):
+    rows = [(1, [1.0, 2.0]), (None, [1.0, 1.9]), (2, [1.0, 0.5])]
+    assert {(r["vec_id"], r["neighbour"]) for r in knn.nearest(vectors(spark, rows), width=2).collect()} == {(1, 2), (2, 1)}
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = "lorem ipsum dolor sit amet " * 20000
+    texts = [None, "", " ", long, long + "more", "ﬁne 😀 \u200b Ιater", "a", "same text here", "same text here", "x" * 3000]
+    rows = [(i if i != 8 else 7, f"p{i}.{i}v1" if i != 6 else None, t, ["train", "val", None, "test"][i % 4]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_id long, arxiv_id string, text string, split string")
+    for name in ("_k", "_c", "_b", "_d", "_i", "_x", "_n", "_text", "_paper", "word", "band", "a", "b"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert {tuple(r) for r in overlap.cross_split_overlap(df, key="row_id", text="text").select("train_id", "eval_id").collect()} >= {(4, 3)}
+    assert [tuple(r) for r in spans.sharing_pairs(df, longest=True).collect()] == [(3, 4, 0, 0, len(long))]
+    near = {r["row_id"]: (r["cluster_id"], r["links"]) for r in spans.near_rows(df).collect()}
+    assert set(near) == {3, 4, 5, 6, 7, 9} and near[3] == near[4] == (3, 1) and near[7] == (7, 0)
+    assert lookalike.one_form(df).count() == len(rows) and spans.shared_shares(df).count() == len(rows)
+    assert leak.leaks(df.withColumnRenamed("row_id", "doc_id"), spark.createDataFrame([(1, "lorem ipsum dolor sit amet"), (2, None), (3, "")], "item_id long, text string")).count() == 2
+
+
 def test_split_cells_find_all(spark):
     # one cell holds nearly everything and is split; its parts must be asked together
     x = np.concatenate([RNG.normal(size=(120, 4)) * 0.05 + [1, 0, 0, 0], [[0, 0, 0, 1.0]]])
@@ -255,7 +277,8 @@ def brute_pairs(rows, run=200):
 
 def test_passages_equal_brute_force(spark):
     rows = passages()
-    got = spans.shared_pairs(chunk_table(spark, rows)).collect()
+    assert {tuple(r) for r in spans.sharing_pairs(chunk_table(spark, rows)).collect()} == brute_pairs(rows)
+    got = spans.sharing_pairs(chunk_table(spark, rows), longest=True).collect()
     assert {(r["a"], r["b"]) for r in got} == brute_pairs(rows)
     text = {k: t for k, _, t in rows}
     for r in got:
@@ -278,23 +301,26 @@ def test_shares_equal_brute_force(spark):
     assert spans.shared_shares(chunk_table(spark, [])).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abc", max_size=40), st.text(alphabet="abc", max_size=40), st.integers(1, 6))
+def test_longest_run(a, b, run):
+    best = max(((n, -i, -j) for i in range(len(a)) for j in range(len(b)) for n in range(run, min(len(a) - i, len(b) - j) + 1) if a[i : i + n] == b[j : j + n]), default=None)
+    assert spans.longest_run(a, b, run) == (best and (-best[1], -best[2], best[0]))
+    found = spans.common_run(a, b, run)
+    assert (found is None) == (best is None) and (found is None or a[found[0] : found[0] + run] == b[found[1] : found[1] + run])
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab", min_size=0, max_size=60), st.text(alphabet="ab", min_size=0, max_size=60), st.data())
-def test_common_run(a, b, data):
-    if not a or not b:
-        return
+@given(st.text(alphabet="ab", min_size=1, max_size=60), st.text(alphabet="ab", min_size=1, max_size=60), st.data())
+def test_reach(a, b, data):
     i, j = data.draw(st.integers(0, len(a) - 1)), data.draw(st.integers(0, len(b) - 1))
-    start, n = spans.common_run(a, b, i, j)
-    p, q = i, j
-    if a[i] != b[j]:
-        assert n == 0
-        return
-    while p > 0 and q > 0 and a[p - 1] == b[q - 1]:
-        p, q = p - 1, q - 1
-    k = 0
-    while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k]:
-        k += 1
-    assert (start, n) == (p, k)
+    n = 0
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    back = 0
+    while n and back < min(i, j) and a[i - back - 1] == b[j - back - 1]:
+        back += 1
+    assert spans.reach(a, b, i, j) == n + back
 
 
 def test_components(spark):

@@ -129,7 +129,8 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", wid
 
     Vectors that are null, not ``width`` long, all zero or hold a null, NaN or
     infinite value take no part.  Equal vectors are searched once and are one
-    another's neighbours with cosine 1; ties go to the smaller key.  least: keep
+    another's neighbours with cosine 1; ties go to the smaller key; a row without
+    a key is no one's neighbour and has none.  least: keep
     only neighbours at least that similar (a cut below which nothing changes,
     made before the shuffle).  An empty table gives none.
 

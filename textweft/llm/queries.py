@@ -109,7 +109,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of different papers with a common run of 200 characters."""
-    return spans.shared_pairs(table(spark, root, "chunked_database")).select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b")).distinct()
+    return spans.sharing_pairs(table(spark, root, "chunked_database")).select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
 def p5_spans(spark: SparkSession, root: str) -> DataFrame:

@@ -115,9 +115,12 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), ends - size, ends
 
 
-def paragraphs(rows: DataFrame, run: int, paragraph: int, per_band: int = 4) -> DataFrame:
-    """(_k, _paper, band, pos) of each anchored paragraph of the texts long enough to hold a run; equal paragraphs have one band."""
-    schema = T.StructType([rows.schema["_k"], rows.schema["_paper"], *T.StructType.fromDDL("band long, pos int").fields])
+def paragraphs(rows: DataFrame, run: int, paragraph: int, once: bool = False, per_band: int = 4) -> DataFrame:
+    """(_k, _paper, band, pos, again) of each anchored paragraph of the texts long enough to hold a run; equal paragraphs have one band.
+
+    once: of a paragraph that a text holds several times, the first place only; ``again`` tells that there are more.
+    """
+    schema = T.StructType([rows.schema["_k"], rows.schema["_paper"], *T.StructType.fromDDL("band long, pos int, again boolean").fields])
 
     def cut(batches):
         import pyarrow as pa
@@ -132,9 +135,17 @@ def paragraphs(rows: DataFrame, run: int, paragraph: int, per_band: int = 4) ->
                 at = s.anchors(hashes, starts, ends, run, paragraph)
                 keys = s.paragraph_keys(hashes, at, paragraph, per_band, 1)
                 doc = np.searchsorted(ends, at, side="right")
+                again = np.zeros(len(at), bool)
+                if once and len(at):
+                    order = np.lexsort((at, keys[:, 0], doc))
+                    key, owner = keys[order, 0], doc[order]
+                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+                    again = np.diff(np.append(first, len(order))) > 1
+                    first = order[first]
+                    at, keys, doc = at[first], keys[first], doc[first]
                 who = pa.array(doc + a)
                 pos = (at - starts[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys.ravel().view(np.int64)), pa.array(pos)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys.ravel().view(np.int64)), pa.array(pos), pa.array(again)], names=schema.names)
 
     return map_arrow(rows.select("_k", "_paper", "_text"), cut, schema)
 
@@ -150,72 +161,104 @@ def meeting(parts: DataFrame) -> DataFrame:
     return attach(parts, shared.select("band", F.ceil(F.col("_n") / HOT).cast("int").alias("_places")), "band")
 
 
-def common_run(a: str, b: str, i: int, j: int) -> tuple[int, int]:
-    """Start in ``a`` and length of the equal run through a[i] and b[j]; (i, 0) if those differ."""
-
-    def reach(same, most):
-        low, step = 0, 64
-        while low < most and same(low, min(most, low + step)):
-            low = min(most, low + step)
-            step *= 2
-        high = min(most, low + step)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if same(low, mid):
-                low = mid
-            else:
-                high = mid - 1
-        return low
-
-    right = reach(lambda p, q: a[i + p : i + q] == b[j + p : j + q], min(len(a) - i, len(b) - j))
-    if not right:
-        return i, 0
-    left = reach(lambda p, q: a[i - q : i - p] == b[j - q : j - p], min(i, j))
-    return i - left, left + right
+def sharing_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id", text: str = "text", run: int = 200, longest: bool = False) -> DataFrame:
+    """(a, b): rows of two papers that have a run of at least ``run`` characters in common, smaller key first.
 
-
-def shared_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id", text: str = "text", run: int = 200) -> DataFrame:
-    """(a, b, start_a, start_b, length): runs of at least ``run`` characters that rows of two papers share.
-
-    Smaller key first, every maximal run once.  Null ids name no paper; null,
-    empty and shorter texts share nothing; repeated rows share like others.
-    Pairs are all listed here; for counts without pairs see ``shared_spans``.
+    With ``longest`` also start_a, start_b and length of their longest common
+    run, the first in a and then in b of equally long ones.  Null ids name no
+    paper; null, empty and shorter texts share nothing; repeated rows share like
+    others.  A paragraph that a text repeats meets others once, so texts that
+    repeat themselves make no more pairs than others; pairs are verified on the
+    stored characters.
     """
     base = prepare(rows, key, ident, text, run)
-    parts = stored(paragraphs(base, run, run // 2))
-    some = meeting(parts)
-    left = some.select("band", F.pmod(F.hash("_k"), "_places").alias("_place"), F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"))
-    right = some.select("band", F.explode(F.sequence(F.lit(0), F.col("_places") - 1)).alias("_place"), F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"))
-    # one row for each pair and shift: all anchors of one run lie on one diagonal
-    met = stored(left.join(right, ["band", "_place"]).where("a < b AND pa <> pb").groupBy("a", "b", (F.col("x") - F.col("y")).alias("shift")).agg(F.sort_array(F.collect_set("x")).alias("xs")))
+    some = meeting(stored(paragraphs(base, run, run // 2, once=True)))
+    left = some.select("band", F.pmod(F.hash("_k"), "_places").alias("_place"), F.col("_k").alias("a"), F.col("_paper").alias("pa"), F.col("pos").alias("x"), F.col("again").alias("ga"))
+    right = some.select("band", F.explode(F.sequence(F.lit(0), F.col("_places") - 1)).alias("_place"), F.col("_k").alias("b"), F.col("_paper").alias("pb"), F.col("pos").alias("y"), F.col("again").alias("gb"))
+    # where their common paragraphs stand first in both; all paragraphs of one run lie on one diagonal
+    spots = F.sort_array(F.collect_set(F.struct((F.col("x") - F.col("y")).alias("shift"), "x")))
+    met = stored(left.join(right, ["band", "_place"]).where("a < b AND pa <> pb").groupBy("a", "b").agg(spots.alias("spots"), F.bool_or(F.col("ga") | F.col("gb")).alias("again")))
     # most rows share nothing: their texts stay where they are
     named = met.select(F.col("a").alias("_k")).union(met.select("b")).distinct()
     base = only(base.select("_k", "_text"), named, "_k")
-    full = met.join(base.select(F.col("_k").alias("a"), F.col("_text").alias("ta")), "a").join(base.select(F.col("_k").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "shift", "xs", "ta", "tb")
-    schema = T.StructType([full.schema["a"], full.schema["b"], *T.StructType.fromDDL("start_a int, start_b int, length int").fields])
+    full = met.join(base.select(F.col("_k").alias("a"), F.col("_text").alias("ta")), "a").join(base.select(F.col("_k").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb", F.col("spots.shift").alias("shifts"), F.col("spots.x").alias("xs"), "again")
+    schema = T.StructType([full.schema["a"], full.schema["b"], *(T.StructType.fromDDL("start_a int, start_b int, length int").fields if longest else [])])
 
     def verify(batches):
         import pyarrow as pa
 
-        from textweft.llm.spans import common_run as reach
+        from textweft.llm.spans import common_run, longest_run, reach
 
         for batch in batches:
-            take, cols = [], ([], [], [])
-            for i, (shift, xs, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
-                done = -1
-                for x in xs:
-                    if x < done:
-                        continue
-                    start, n = reach(ta, tb, x, x - shift)
-                    done = max(done, start + n)
-                    if n >= run:
-                        take.append(i)
-                        for c, v in zip(cols, (start, start - shift, n), strict=True):
-                            c.append(v)
-            rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c, pa.int32()) for c in cols]], names=schema.names)
-
-    return map_arrow(full, verify, schema)
+            take, places = [], []
+            for i, (ta, tb, shifts, xs, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True)):
+                found = any(reach(ta, tb, x, x - shift) >= run for shift, x in zip(shifts, xs, strict=True))
+                # first places decide unless a paragraph stands in a text several times
+                if (longest and found) or (again and not found):
+                    found = longest_run(ta, tb, run) if longest else common_run(ta, tb, run)
+                if found:
+                    take.append(i)
+                    places.append(found)
+            at = pa.array(take, pa.int64())
+            more = [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else ([], [], []))] if longest else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more], names=schema.names)
+
+    # repeated rows bring a pair several times
+    return map_arrow(full, verify, schema).distinct()
+
+
+def reach(a: str, b: str, i: int, j: int) -> int:
+    """Length of the run of equal characters of ``a`` and ``b`` through a[i] and b[j]."""
+
+    def same(equal, most):
+        low, step = 0, 64
+        while low < most and equal(low, min(most, low + step)):
+            low = min(most, low + step)
+            step *= 2
+        high = min(most, low + step)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if equal(low, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    right = same(lambda p, q: a[i + p : i + q] == b[j + p : j + q], min(len(a) - i, len(b) - j))
+    return right and right + same(lambda p, q: a[i - q : i - p] == b[j - q : j - p], min(i, j))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def common_run(a: str, b: str, run: int) -> tuple[int, int, int] | None:
+    """Where ``run`` equal characters begin in ``a`` and, after that, in ``b``, with their number; none if there are none."""
+    if min(len(a), len(b)) < run:
+        return None
+    x, y = run_hashes(code_points(a), run), run_hashes(code_points(b), run)
+    places, first = np.unique(y, return_index=True)
+    where = np.searchsorted(places, x)
+    where[where == len(places)] = 0
+    for i in np.flatnonzero(places[where] == x).tolist():
+        j = int(first[where[i]])
+        if a[i : i + run] == b[j : j + run]:
+            return i, j, run
+    return None
+
+
+def longest_run(a: str, b: str, run: int) -> tuple[int, int, int] | None:
+    """:func:`common_run` of the greatest length, at least ``run``."""
+    best = common_run(a, b, run)
+    low, high = run, min(len(a), len(b))
+    while best and low < high:
+        mid = (low + high + 1) // 2
+        found = common_run(a, b, mid)
+        if found:
+            best, low = found, mid
+        else:
+            high = mid - 1
+    return best
 
 
 def run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
