@@ -117,7 +117,8 @@ def target_sample(rows: DataFrame, targets: DataFrame, key: str, category: str =
 
     A category with fewer rows than its target gives all it has and the rest
     goes to the other categories in proportion; categories without a target
-    give nothing.  Repeated rows are separate rows.  An empty pool gives an
+    give nothing.  Minimums come first: where they add up to more, so does the
+    sample.  Repeated rows are separate rows.  An empty pool gives an
     empty sample and a report of zeros.
 
     rows: the sample.  report: per category of the targets, what was wanted and

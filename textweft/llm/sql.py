@@ -132,7 +132,8 @@ P6_TEXTS = " SELECT row_id, form AS canonical_text FROM f UNION ALL SELECT row_i
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_POOL + "SELECT t.top_name FROM category_targets t CROSS JOIN size LEFT JOIN have h USING (top_name) WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * size.m)",
-        "p1_size": P1_POOL + "SELECT m AS sampled, m AS different, 0 AS strangers FROM size",
+        "p1_size": P1_POOL + """, known AS (SELECT greatest(least(any_value(m), coalesce(sum(n), 0)), coalesce(sum(least(min_rows, n)), 0))::BIGINT AS k FROM category_targets JOIN have USING (top_name), size)
+          SELECT k AS sampled, k AS different, 0 AS strangers FROM known""",
         "p2_rejoined": "SELECT row_id, md5(text) AS digest, true AS fits, true AS overlaps FROM chunked_database WHERE length(text) > 1200",
         "p2_found": "SELECT row_id FROM chunked_database WHERE length(text) > 1200",
         "p3_found": P3,
