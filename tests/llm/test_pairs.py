@@ -285,6 +285,16 @@ def test_passages_equal_brute_force(spark):
         assert text[r["a"]][r["start_a"] : r["start_a"] + r["length"]] == text[r["b"]][r["start_b"] : r["start_b"] + r["length"]]
 
 
+def test_paragraphs_that_are_merely_alike_do_not_meet(spark):
+    base = prose(150)
+    # one frame of words, another number every 60 characters
+    rows = [(i, f"1.{i}v1", "".join(f"{base[j : j + 60]} {i:03d} " for j in range(0, 600, 60))) for i in range(60)]
+    rows += [(100, "2.1", rows[7][2][40:300])]
+    parts = spans.paragraphs(spans.prepare(chunk_table(spark, rows), "row_id", "arxiv_id", "text", 200), 200, 100, once=True)
+    assert {r["_k"] for r in spans.meeting(parts).select("_k").distinct().collect()} == {7, 100}
+    assert {tuple(r) for r in spans.sharing_pairs(chunk_table(spark, rows)).collect()} == brute_pairs(rows) == {(7, 100)}
+
+
 def test_shares_equal_brute_force(spark):
     rows = passages()[:-1]
     got = {r["row_id"]: r["shared_chars"] for r in spans.shared_shares(chunk_table(spark, rows)).collect()}

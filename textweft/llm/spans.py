@@ -1,7 +1,7 @@
 """Problem 5: long passages that stand word for word in several records.
 
-Texts are cut into content-anchored paragraphs that meet by MinHash; equal ones
-are sought, so one band meets them all, and runs are verified on the stored
+Texts are cut into content-anchored paragraphs; equal ones are sought, so one
+hash of their characters meets them all, and runs are verified on the stored
 characters.  Texts that are nearly equal as a whole meet by bands tuned for high
 recall and are verified by exact Jaccard similarity.  What is removed is
 clustered by connected components.
@@ -78,24 +78,6 @@ def anchors(hashes: np.ndarray, codes_starts: np.ndarray, codes_ends: np.ndarray
     return np.unique(first + offset.astype(np.int64))
 
 
-def paragraph_keys(hashes: np.ndarray, at: np.ndarray, paragraph: int, rows: int, bands: int, seed: int = 5) -> np.ndarray:
-    """Band keys (paragraph x band) of the paragraphs' MinHash signatures over character grams."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((len(at), bands), np.uint64)
-    if not len(at):
-        return out
-    span = np.stack([at, at + paragraph - GRAM + 1], 1).ravel()
-    pad = np.full(1, np.iinfo(np.uint64).max, np.uint64)
-    for b in range(bands):
-        for _ in range(rows):
-            salt = np.uint64(rng.integers(1, 1 << 63) | 1)
-            values = hashes * salt
-            values ^= values >> np.uint64(29)
-            low = np.minimum.reduceat(np.append(values, pad), span)[::2]
-            out[:, b] = mix(out[:, b] * ODD + low + np.uint64(b))
-    return out
-
-
 def batches_of(texts: list[str], most: int = AT_ONCE):
     """Index ranges of texts that together have about ``most`` characters."""
     start = size = 0
@@ -115,9 +97,11 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), ends - size, ends
 
 
-def paragraphs(rows: DataFrame, run: int, paragraph: int, once: bool = False, per_band: int = 4) -> DataFrame:
+def paragraphs(rows: DataFrame, run: int, paragraph: int, once: bool = False) -> DataFrame:
     """(_k, _paper, band, pos, again) of each anchored paragraph of the texts long enough to hold a run; equal paragraphs have one band.
 
+    The band is a hash of all characters of the paragraph, so that paragraphs that are merely alike, of which there are
+    ever more in larger tables, don't meet.
     once: of a paragraph that a text holds several times, the first place only; ``again`` tells that there are more.
     """
     schema = T.StructType([rows.schema["_k"], rows.schema["_paper"], *T.StructType.fromDDL("band long, pos int, again boolean").fields])
@@ -133,19 +117,19 @@ def paragraphs(rows: DataFrame, run: int, paragraph: int, once: bool = False, pe
                 codes, starts, ends = s.joined(texts[a:b])
                 hashes = s.gram_hashes(codes)
                 at = s.anchors(hashes, starts, ends, run, paragraph)
-                keys = s.paragraph_keys(hashes, at, paragraph, per_band, 1)
+                keys = s.run_hashes(codes, paragraph)[at]
                 doc = np.searchsorted(ends, at, side="right")
                 again = np.zeros(len(at), bool)
                 if once and len(at):
-                    order = np.lexsort((at, keys[:, 0], doc))
-                    key, owner = keys[order, 0], doc[order]
+                    order = np.lexsort((at, keys, doc))
+                    key, owner = keys[order], doc[order]
                     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
                     again = np.diff(np.append(first, len(order))) > 1
                     first = order[first]
                     at, keys, doc = at[first], keys[first], doc[first]
                 who = pa.array(doc + a)
                 pos = (at - starts[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys.ravel().view(np.int64)), pa.array(pos), pa.array(again)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(keys.view(np.int64)), pa.array(pos), pa.array(again)], names=schema.names)
 
     return map_arrow(rows.select("_k", "_paper", "_text"), cut, schema)
 
