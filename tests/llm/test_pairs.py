@@ -295,6 +295,22 @@ def test_paragraphs_that_are_merely_alike_do_not_meet(spark):
     assert {tuple(r) for r in spans.sharing_pairs(chunk_table(spark, rows)).collect()} == brute_pairs(rows) == {(7, 100)}
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    shared = prose(60)
+    x, y = prose(20) + " " + shared, shared + " " + prose(30)
+    rows = [(i, f"1.{i}v1", (x, y)[i % 2]) for i in range(20)]
+    compared, map_arrow = [], spans.map_arrow
+
+    def counted(df, *args):
+        if "ta" in df.columns:
+            compared.append(df.count())
+        return map_arrow(df, *args)
+
+    monkeypatch.setattr(spans, "map_arrow", counted)
+    assert {tuple(r) for r in spans.sharing_pairs(chunk_table(spark, rows)).collect()} == brute_pairs(rows)
+    assert len(brute_pairs(rows)) == 190 and compared == [4]
+
+
 def test_shares_equal_brute_force(spark):
     rows = passages()[:-1]
     got = {r["row_id"]: r["shared_chars"] for r in spans.shared_shares(chunk_table(spark, rows)).collect()}

@@ -162,11 +162,19 @@ def sharing_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id",
     # where their common paragraphs stand first in both; all paragraphs of one run lie on one diagonal
     spots = F.sort_array(F.collect_set(F.struct((F.col("x") - F.col("y")).alias("shift"), "x")))
     met = stored(left.join(right, ["band", "_place"]).where("a < b AND pa <> pb").groupBy("a", "b").agg(spots.alias("spots"), F.bool_or(F.col("ga") | F.col("gb")).alias("again")))
-    # most rows share nothing: their texts stay where they are
+    # most rows share nothing: their texts stay where they are; of equal texts one is compared for all, so that copies move no text a pair
     named = met.select(F.col("a").alias("_k")).union(met.select("b")).distinct()
-    base = only(base.select("_k", "_text"), named, "_k")
-    full = met.join(base.select(F.col("_k").alias("a"), F.col("_text").alias("ta")), "a").join(base.select(F.col("_k").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb", F.col("spots.shift").alias("shifts"), F.col("spots.x").alias("xs"), "again")
-    schema = T.StructType([full.schema["a"], full.schema["b"], *(T.StructType.fromDDL("start_a int, start_b int, length int").fields if longest else [])])
+    texts = only(base.select("_k", "_text"), named, "_k").select("_k", F.unhex(F.md5("_text")).alias("_c"), "_text")
+    kinds = stored(texts.select("_k", "_c").distinct())
+    for side in ("a", "b"):
+        met = attach(met, kinds.select(F.col("_k").alias(side), F.col("_c").alias("c" + side)), side)
+    pairs = met.groupBy("ca", "cb").agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"), F.bool_or("again").alias("again"))
+    texts = texts.dropDuplicates(["_c"])
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("_c").alias("c" + side), F.col("_text").alias("t" + side)), "c" + side)
+    full = pairs.select("ca", "cb", "ta", "tb", F.col("spots.shift").alias("shifts"), F.col("spots.x").alias("xs"), "again")
+    more = T.StructType.fromDDL("start_a int, start_b int, length int").fields if longest else []
+    schema = T.StructType([full.schema["ca"], full.schema["cb"], *more])
 
     def verify(batches):
         import pyarrow as pa
@@ -184,11 +192,11 @@ def sharing_pairs(rows: DataFrame, key: str = "row_id", ident: str = "arxiv_id",
                     take.append(i)
                     places.append(found)
             at = pa.array(take, pa.int64())
-            more = [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else ([], [], []))] if longest else []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more], names=schema.names)
+            spans = [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else ([], [], []))] if longest else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *spans], names=schema.names)
 
     # repeated rows bring a pair several times
-    return map_arrow(full, verify, schema).distinct()
+    return attach(met, map_arrow(full, verify, schema), ["ca", "cb"]).select("a", "b", *[f.name for f in more]).distinct()
 
 
 def reach(a: str, b: str, i: int, j: int) -> int:

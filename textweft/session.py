@@ -120,7 +120,7 @@ def numbered(rows: DataFrame, key: str, order: list[str], first: int = 0) -> Dat
 MOST_KEYS = 1_000_000
 
 
-def attach(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", most: int = MOST_KEYS) -> DataFrame:
+def attach(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner", most: int = MOST_KEYS) -> DataFrame:
     """Join ``rows`` with a narrow table of keys that is expected to be small.
 
     The keys are stored and counted first: up to ``most`` they are broadcast, so
